@@ -54,3 +54,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         now.select(F.col("v"), F.col("v")).distinct()
     )
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with the session told to hand Python workers few rows at once: a row may hold a very long text."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
