@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, minhash, packing, quality_rules, secret_scan, sharding, toxicity
+from palimpsest.llm import bayes_quality, chat, embed_graph, minhash, packing, quality_rules, secret_scan, sharding, toxicity
 
 SHARD_BYTES = 1 << 20
 
@@ -19,6 +20,10 @@ def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op2_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_graph.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -42,17 +47,24 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents")))
 
 
+def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return bayes_quality.posterior(docs, labels, F.col("source"), F.col("lang"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_measures(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extendible_sharding": op1_extendible_sharding,
+    "op2_embedding_graph": op2_embedding_graph,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_secret_scan": op7_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_quality_bayes": op9_quality_bayes,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -139,8 +151,22 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(least(m, doc_id),
 FROM s LEFT JOIN c USING (doc_id)
 """
 
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND array_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT a, a AS m FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.m),
+c AS (SELECT a AS vec_id, min(m) AS m FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_extendible_sharding": OP1_SQL,
+    "op2_embedding_graph": OP2_SQL,
     "op4_minhash_dedup": OP4_SQL,
     "op6_chat_formatting": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
