@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bayes_quality, chat, embed_graph, minhash, packing, quality_rules, secret_scan, sharding, toxicity
+from palimpsest.llm import bayes_quality, chat, embed_graph, minhash, packing, piece_scan, quality_rules, secret_scan, sharding, toxicity
 
 SHARD_BYTES = 1 << 20
 
@@ -24,6 +24,10 @@ def op2_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_graph.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_scan.digests(piece_scan.encode(_table(spark, sf_dir, "documents")))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -59,6 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_embedding_graph": op2_embedding_graph,
+    "op3_piece_scan": op3_piece_scan,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
