@@ -6,10 +6,10 @@ contiguous window of the second permutation. ``BANDS`` bands of ``ROWS`` coordin
 probability of about 4e-5.
 
 Links. Texts with the same set form one class, of which the smallest id stands for all. In each bucket of a band every class is compared with
-the bucket's smallest id (so a group of any size costs one comparison a member), on full sets. Members of a bucket that
-still lie in another component than its smallest id are then compared with the members of other components, but for those which the
-triangle inequality of the Jaccard distance excludes by the distances already known. No pair that meets in a bucket and could join
-two components is left out, and pairs inside one component are never listed.
+the bucket's smallest id (so a group of any size costs one comparison a member), on full sets. Buckets in which more than one
+component is left then have their texts compared across components, where prefix and position filters allow enough
+common shingles (``across``). No pair that meets in a bucket and could join two components is left out, and pairs inside one
+component are never listed.
 
 Defined results: texts without words, nulls among them, have no shingles and link with nothing; fewer words than a shingle
 has are one shingle. Rows of one id count as one document, so a link of either is a link of both. A null id has a null component, and is kept. Empty tables
@@ -31,6 +31,8 @@ from palimpsest.llm.words import batch_words, mix, shingles
 UNIVERSE, BANDS, ROWS, SEED = 1 << 20, 32, 8, 20_011
 #: Ids of texts to be verified are sent to all tasks up to this many (8 bytes each), else shuffled.
 SENT_IDS = 1_000_000
+#: Ratio of neighbouring size classes in the comparison across components.
+CLASS = 1.03
 FEATURES = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -104,6 +106,43 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("all"))
 
 
+def across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of texts in different components that may reach ``percent``, by prefix and position; none that do is left out.
+
+    ``rest`` has (id, n, component c). Hashes are ordered by whether they occur in one component only, then by frequency. Texts of n and m
+    hashes that are similar enough share at least p * (n + m) / (100 + p), so they share one among the first hashes of
+    either, and the hashes from its place on suffice for that number. Hashes of one component come first and are
+    never exchanged: a text with enough of its own drops out at once, which keeps the members of a large group apart.
+    """
+    hashes = rest.join(sets, "id").select("id", "n", "c", F.explode("hashes").alias("g"))
+    spread = hashes.groupBy("g").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    spread = spread.where("lo <> hi").select("g", "f")
+    own = hashes.join(spread, "g").groupBy("id", "n", "c").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("gs"))
+    own = own.select("id", "n", "c", F.col("gs.g").alias("gs"), (F.col("n") - F.size("gs")).alias("k"))
+    own = written(own)
+
+    def size_class(x):
+        return F.floor(F.log(x) / float(np.log(CLASS))).cast("int")
+
+    def role(mine: str, other: str, low, high) -> DataFrame:
+        of = own.withColumn(mine, size_class(F.col("n").cast("double"))).withColumn(other, F.explode(F.sequence(low, high)))
+        least = F.greatest(F.lit(1.0), F.floor(F.pow(F.lit(CLASS), F.col(other).cast("double"))))
+        need = F.ceil(percent * (F.col("n") + least) / (100 + percent) - 1e-6)
+        first = F.greatest(F.lit(0), F.col("n") - need - F.col("k") + 1).cast("int")
+        of = of.select("id", "n", "c", "k", "cs", "cl", F.posexplode(F.slice("gs", F.lit(1), first)).alias("j", "g"))
+        return of.select("id", "n", "c", "cs", "cl", "g", (F.col("n") - F.col("k") - F.col("j")).alias("left"))
+
+    here = size_class(F.col("n").cast("double"))
+    x = role("cs", "cl", here, size_class(F.col("n") * 100.0 / percent) + 1).alias("x")
+    y = role("cl", "cs", F.greatest(F.lit(0), size_class(F.greatest(F.lit(1.0), F.col("n") * percent / 100.0)) - 1), here).alias("y")
+    could = (F.col("x.g") == F.col("y.g")) & (F.col("x.cs") == F.col("y.cs")) & (F.col("x.cl") == F.col("y.cl"))
+    could &= F.col("x.c") != F.col("y.c")
+    could &= (F.col("x.cs") < F.col("x.cl")) | (F.col("x.id") < F.col("y.id"))
+    enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, could & enough)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -126,20 +165,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     parts = components(links)
 
     # what a bucket holds beside the component of its smallest id
-    far = tried.groupBy(F.col("a").alias("lead"), F.col("b").alias("id")).agg(F.max(F.col("common") / F.col("all")).alias("near"))
     placed = met.join(parts.select("id", F.col("component").alias("c")), "id", "left")
     placed = placed.join(parts.select(F.col("id").alias("lead"), F.col("component").alias("lc")), "lead", "left")
     placed = placed.withColumns({"c": F.coalesce("c", "id"), "lc": F.coalesce("lc", "lead")})
     open_keys = placed.where("c <> lc").select("key").distinct()
-    placed = placed.join(open_keys, "key", "left_semi").join(far, ["lead", "id"], "left")
-    placed = written(placed.withColumn("near", F.when(F.col("id") == F.col("lead"), 1.0).otherwise(F.col("near"))))
-    x, y = placed.where("c <> lc").alias("x"), placed.where("id <> lead").alias("y")
-    slack = (100 - percent) / 100 + 1e-9
-    could = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
-    could &= (F.col("y.c") == F.col("y.lc")) | (F.col("x.id") < F.col("y.id"))
-    could &= fits(F.col("x.n"), F.col("y.n"))
-    could &= F.coalesce(F.abs(F.col("x.near") - F.col("y.near")) <= slack, F.lit(True))
-    second = x.join(y, could).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    rest = written(placed.join(open_keys, "key", "left_semi").select("id", "n", "c").distinct())
+    second = across(rest, sets, percent)
     second = written(second.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     if not second.isEmpty():
         more = written(_verified(second, sets).where(linked).select("a", "b"))
