@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,12 +33,24 @@ from palimpsest.llm.shared import small_batches, written
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Words whose ids a task remembers; beyond it the memory is emptied and refilled.
+#: Words whose ids a worker remembers; beyond it the memory is emptied and refilled.
 REMEMBERED = 1_000_000
 ODD = re.compile("[\x1c-\x1f]")
+#: A word and the punctuation behind it, which the tokenizer takes apart.
+ENDED = re.compile("([a-zà-öø-ÿ]+)([.,:;!?]+)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _lower(text: str) -> str:
+    """The text in lower case, as the tokenizer makes it, where that is the same letter by letter: in Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+@lru_cache(maxsize=1)
 def _encoder(path: str):
     """texts -> arrays of ids as the tokenizer gives them.
 
@@ -49,17 +62,20 @@ def _encoder(path: str):
     tokenizer, known = Tokenizer.from_file(path), {}
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        split = [[] if ODD.search(t) else t.split() for t in texts]
-        new = list(set(chain.from_iterable(split)) - known.keys())
+        split = [[] if ODD.search(t) else _lower(t).split() for t in texts]
+        new = set(chain.from_iterable(split)) - known.keys()
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list(set(chain.from_iterable(split)))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+            new = set(chain.from_iterable(split))
+        ended = {w: m.groups() for w in new if (m := ENDED.fullmatch(w))}
+        plain = list((new - ended.keys() | set(chain.from_iterable(ended.values()))) - known.keys())
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
             found = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             coded = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
             ends = np.fromiter(map(len, found), np.int64, len(found)).cumsum() * 4
             known.update((w, coded[a:b]) for w, a, b in zip(part, [0, *ends.tolist()], ends.tolist()))
+        known.update((w, known[a] + known[b]) for w, (a, b) in ended.items())
         look = known.__getitem__
         return [
             np.frombuffer(b"".join(map(look, ws)), "<u4")
