@@ -63,12 +63,12 @@ def _encoder(path: str):
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         split = [[] if ODD.search(t) else _lower(t).split() for t in texts]
-        new = set(chain.from_iterable(split)) - known.keys()
+        new = {w for w in set(chain.from_iterable(split)) if w not in known}
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = set(chain.from_iterable(split))
         ended = {w: m.groups() for w in new if (m := ENDED.fullmatch(w))}
-        plain = list((new - ended.keys() | set(chain.from_iterable(ended.values()))) - known.keys())
+        plain = [w for w in {*(w for w in new if w not in ended), *chain.from_iterable(ended.values())} if w not in known]
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
             found = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
