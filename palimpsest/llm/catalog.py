@@ -25,7 +25,7 @@ def op2_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_scan.digests(piece_scan.encode(_table(spark, sf_dir, "documents")))
+    return piece_scan.digests(*piece_scan.encode(_table(spark, sf_dir, "documents")))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

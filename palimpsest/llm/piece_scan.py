@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,8 @@ from palimpsest.llm.shared import small_batches, written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 CHUNK = 1 << 15
-REMEMBERED = 400_000
+#: Units that a worker remembers; beyond it they become the older half, from which those still in use are taken over.
+REMEMBERED = 300_000
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 BREAK = (-1, -1, -2)
@@ -62,6 +64,8 @@ class Vocabulary:
         self._fit: dict[int, bool] = {}
         self._units: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
+        self._old_units: dict[str, bytes] = {}
+        self._old_parts: dict[str, bytes] = {}
         self.beside = {t[k : k + 2] for t in self.id for k in range(len(t) - 1)}
 
     def consistent(self, a: int, b: int) -> bool:
@@ -142,6 +146,8 @@ class Vocabulary:
             if end == len(text) or text[end - 1 : end + 1] not in self.beside:
                 part = text[at:end]
                 ids = self._parts.get(part)
+                if ids is None and (ids := self._old_parts.get(part)):
+                    self._parts[part] = ids
                 if ids is None:
                     found = self.trace(part, self.forward(part, 0, -2, len(part)), 0, len(part))
                     ids = self._parts[part] = np.array(found, "<i4").tobytes()
@@ -152,20 +158,26 @@ class Vocabulary:
     def whole(self, text: str) -> np.ndarray:
         """Pieces of units in a row (``text`` with marks for spaces)."""
         units, known = UNIT.findall(text), self._units
-        new = set(units) - known.keys()
+        new = [u for u in set(units) if u not in known]
         if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set(units)
+            self._old_units, self._units = known, {}
+            known, new = self._units, set(units)
         if len(self._parts) > REMEMBERED:
-            self._parts.clear()
+            self._old_parts, self._parts = self._parts, {}
         for u in new:
-            known[u] = self.unit(u)
+            known[u] = self._old_units.get(u) or self.unit(u)
         return np.frombuffer(b"".join(map(known.__getitem__, units)), "<i4")
 
     def decode(self, ids) -> bytes:
         return b"".join(self.of[np.asarray(ids, np.int64)].tolist())
 
 
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary with what it remembers, once for each worker."""
+    return Vocabulary(path)
+
+
 def marked(text: str) -> str:
     """The text as the model reads it: a mark in front and for each space."""
     return MARK + text.replace(" ", MARK) if text else ""
@@ -259,13 +271,13 @@ def backtrace(v: Vocabulary, text: str, a: int, b: int, left: int, right: int) -
     return head + v.whole(text[cut:last]).tolist() + tail
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, model: str = MODEL) -> DataFrame:
-    """Rows (doc_id, h, part, parts, ids): pieces by document (h is the text's hash) and chunk."""
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, model: str = MODEL) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, part, parts, copies, ids) of the documents in one chunk, and of those in several by chunk; h is the text's hash."""
     rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = F.length("text")
 
     def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for frame in frames:
             ids = [v.whole(marked(t)) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "h": frame["h"], "part": 0, "parts": 1, "copies": 1, "ids": ids})
@@ -288,7 +300,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int
     pieces = written(pieces.repartition("doc_id", "h", "part"))
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for frame in frames:
             found = [transfer(v, r.text, r.a, r.b) for r in frame.itertuples()]
             yield frame[["doc_id", "h", "part"]].assign(rows=[len(m) for m in found], live=[np.flatnonzero(m.ravel() == 0).astype(np.int32) for m in found], cols=[m.shape[1] for m in found])
@@ -311,12 +323,12 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int
     ready = pieces.alias("p").join(at.alias("s"), same).select("p.*", "s.left", "s.right")
 
     def back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for frame in frames:
             ids = [np.array(backtrace(v, r.text, r.a, r.b, r.left, r.right), np.int32) for r in frame.itertuples()]
             yield frame[["doc_id", "h", "part", "parts", "copies"]].assign(ids=ids)
 
-    return small.union(ready.mapInPandas(back, schema))
+    return small, ready.mapInPandas(back, schema)
 
 
 #: Characters that a chunk sees beyond its cuts: two pieces and a break.
@@ -324,24 +336,24 @@ HALO = 64
 CUT = ["doc_id", "h", "copies", "part", "parts", "a", "b", "last", "text"]
 
 
-def digests(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+def digests(small: DataFrame, giant: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (little-endian 32-bit ids), n_chars and text_sha256 of the decoded text, by row of the input."""
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for frame in frames:
             texts = [v.decode(i) for i in frame["ids"]]
             yield frame[["doc_id", "h", "part", "parts", "copies"]].assign(n=[len(i) for i in frame["ids"]], ids=[np.asarray(i, "<u4").tobytes() for i in frame["ids"]], text=texts)
 
-    parts = encoded.mapInPandas(decode, "doc_id long, h long, part int, parts int, copies long, n long, ids binary, text binary")
+    schema = "doc_id long, h long, part int, parts int, copies long, n long, ids binary, text binary"
 
     def digest(n, ids, text):
         # the mark in front of a text is decoded as a space and dropped
         plain = F.substring(text, 2, 2147483647)
         return [n.alias("n_pieces"), F.crc32(ids).alias("ids_crc32"), F.length(F.decode(plain, "UTF-8")).cast("long").alias("n_chars"), F.sha2(plain, 256).alias("text_sha256")]
 
-    one = parts.where("parts = 1").select("doc_id", *digest(F.col("n"), F.col("ids"), F.col("text")))
-    many = parts.where("parts > 1").groupBy("doc_id", "h", "copies").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("part", "ids", "text"))).alias("x"))
+    one = small.mapInPandas(decode, schema).select("doc_id", *digest(F.col("n"), F.col("ids"), F.col("text")))
+    many = giant.mapInPandas(decode, schema).groupBy("doc_id", "h", "copies").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("part", "ids", "text"))).alias("x"))
     join = lambda f: F.aggregate(f"x.{f}", F.lit(b""), lambda a, b: F.concat(a, b))
     many = many.select("doc_id", "copies", "n", join("ids").alias("ids"), join("text").alias("text"))
     many = many.select("doc_id", "copies", *digest(F.col("n"), F.col("ids"), F.col("text")))

@@ -48,7 +48,7 @@ def test_odd_rows_everywhere(spark):
     assert packing.pack(packing.pieces(d)).select("doc_id").distinct().count() == len(ODD)
     assert toxicity.verdicts(d, labels).count() == len(ODD)
     assert bayes_quality.posterior(d, labels, F.col("source"), F.col("lang")).count() == len(ODD)
-    assert piece_scan.digests(piece_scan.encode(d)).count() == len(ODD)
+    assert piece_scan.digests(*piece_scan.encode(d)).count() == len(ODD)
 
 
 def test_empty_tables(spark):
@@ -56,7 +56,7 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for out in (
         sharding.assign(d, 10), quality_rules.quality_measures(d), quality_rules.judge(d), secret_scan.find(d), minhash.near_duplicates(d), minhash.keep_one(d),
-        packing.pack(packing.pieces(d)), toxicity.verdicts(d, labels), bayes_quality.posterior(d, labels, F.col("source"), F.col("lang")), piece_scan.digests(piece_scan.encode(d)),
+        packing.pack(packing.pieces(d)), toxicity.verdicts(d, labels), bayes_quality.posterior(d, labels, F.col("source"), F.col("lang")), piece_scan.digests(*piece_scan.encode(d)),
         embed_graph.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")),
         chat.digests(chat.read_back(chat.expand(spark.createDataFrame([], "conv_id long, turn int, role string, text string")))),
     ):
@@ -283,7 +283,7 @@ def test_pieces_against_library(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows += [(9000, "abcde" * 300), (9001, "   a  b\n\n c" * 40), (9002, "日本€😀\t" * 90), (9003, None), (9004, "▁x ▁"), (9004, "▁x ▁")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = piece_scan.digests(piece_scan.encode(d, chunk=200)).collect()
+    got = piece_scan.digests(*piece_scan.encode(d, chunk=200)).collect()
     want = sorted((i, len(ids := model.encode(t or "")), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in rows)
     assert sorted((r.doc_id, r.n_pieces, r.ids_crc32) for r in got) == want
     # the model reads its own mark in a text as a space, as the library does
