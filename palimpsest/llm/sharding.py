@@ -47,7 +47,10 @@ def _leaves(rows: DataFrame, top: int, deep: int, limit: int) -> DataFrame:
     up = written(up.select("hi", "lo", "depth", "phi", "plo", "bytes", "docs"))
     nodes = up.groupBy("depth", "phi", "plo").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"))
     fits = (F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1)
-    found = up.join(nodes.where(fits), ["depth", "phi", "plo"])
+    nodes = written(nodes.where(fits))
+    # no cell has its bucket above the shallowest that fits, where a few nodes would gather all cells
+    lowest = nodes.agg(F.min("depth")).first()[0]
+    found = up.where(F.col("depth") >= (lowest or 0)).join(nodes, ["depth", "phi", "plo"])
     best = F.min(F.struct("depth", "phi", "plo", "shard_bytes", "shard_docs")).alias("best")
     return cells.select("hi", "lo").join(found.groupBy("hi", "lo").agg(best), ["hi", "lo"], "left")
 
