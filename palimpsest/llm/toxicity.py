@@ -256,7 +256,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int
                 value = np.where(all_windows[mine] >= 0, net.p["word"][rows[all_windows[mine]], 0], -9).max(axis=1)
             order = mine[np.argsort(value, kind="stable")]
             chosen[owner[order]] = order
-        passes = max(1, round(STEPS * 64 / len(texts)))
+        passes = max(1, min(STEPS // 2, round(STEPS * 64 / len(texts))))  # a pass takes a step of each half at least
         for k in (0, 1) * passes:
             mine = rng.permutation(np.flatnonzero(fold == k))
             for i in range(0, len(mine), 64):
