@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.quality_rules import lines, measures
+from palimpsest.llm.quality_rules import MEASURES, measure_of
 from palimpsest.llm.shared import written
 
 SAMPLE = 20_000
@@ -27,13 +27,12 @@ FEATURES = ("size", "length", "symbols", "lines", "repeats", "capitals", "bangs"
 def evidence(docs: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (k, host, path, features)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(key).alias("k"), host.alias("host"), path.alias("path"), t.alias("t"),
-        F.size(lines(t)).alias("n_lines"),
-        F.length(F.regexp_replace(t, "[^A-Z]+", "")).alias("n_capitals"),
+    measure = measure_of(t)
+    m = docs.select(
+        F.col(key).alias("k"), host.alias("host"), path.alias("path"),
         F.length(F.regexp_replace(t, "[^!]+", "")).alias("n_bangs"),
+        *[measure(name).alias(name) for name in (*MEASURES, "n_lines", "n_capitals")],
     )
-    m = measures(rows, "t", "k", "host", "path", "n_lines", "n_capitals", "n_bangs")
     words, share = F.greatest(F.lit(1), "n_words"), lambda a, b: F.least(F.lit(1.0), F.col(a) / b)
     return m.select(
         "k", "host", "path",

@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade of native predicates over whole texts.
 
 Words are maximal runs of characters other than blank, tab, newline, vertical tab, form feed and carriage return.
-``measures`` computes the counts that rules speak of, ``RULES`` the predicates that reject a text, ``order_rules``
+``measure_of`` gives the counts that rules speak of, ``RULES`` the predicates that reject a text, ``order_rules``
 estimates cost and selectivity of each on a sample, and ``cascade`` applies them in order of rejection per cost.
 The order changes the work done and which rule is named first, never the verdict.
 
@@ -36,36 +36,6 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
 
 
-def measures(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
-    """``keep`` and the five counts of each row's text. Each list is a column of its own so that it is made once."""
-    out = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    out = out.select(*keep, "_t", words(F.col("_t")).alias("_w"), lines(F.col("_t")).alias("_l"))
-    window = F.transform(
-        F.sequence(F.lit(0), F.size("_w") - 3),
-        lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)),
-    )
-    out = out.select(
-        *keep,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_t", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_w") >= 4, window).alias("_g"),
-    )
-    repeats = F.size(F.array_distinct("_g")) < F.size("_g")
-    placed = F.when(repeats, F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
-    out = out.withColumn("_s", placed)
-    twice = F.transform(
-        "_s",
-        lambda x, i: F.when(
-            (x["g"] == F.get("_s", i - 1)["g"]) | (x["g"] == F.get("_s", i + 1)["g"]), x["i"]
-        ),
-    )
-    covered = F.flatten(F.transform(F.filter(twice, lambda x: x.isNotNull()), lambda i: F.array(i, i + 1, i + 2)))
-    repeated = F.when(F.col("_s").isNull(), F.lit(0)).otherwise(F.size(F.array_distinct(covered)))
-    return out.select(*keep, *MEASURES[:4], repeated.cast("long").alias("n_repeat_words"))
-
-
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
@@ -81,36 +51,39 @@ RULES = {
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value made once. A name bound inside an expression, unlike a column, stays bound when
+    Catalyst moves a filter on the result below the projection."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _repeat_words(text: Column) -> Column:
-    """``n_repeat_words`` of a text as one expression; ``let`` binds the lists so that none is made twice."""
+    """``n_repeat_words`` of a text as one expression."""
 
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
+    def of_words(w: Column) -> Column:
+        hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+        return F.when(F.size(w) < 4, F.lit(0)).otherwise(_let(F.transform(F.sequence(F.lit(0), F.size(w) - 3), hashed), of_windows))
 
     def of_windows(g: Column) -> Column:
         placed = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(let(placed, of_sorted))
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(_let(placed, of_sorted))
 
     def of_sorted(s: Column) -> Column:
         same = lambda x, i: (x["g"] == F.get(s, i - 1)["g"]) | (x["g"] == F.get(s, i + 1)["g"])
         at = F.filter(F.transform(s, lambda x, i: F.when(same(x, i), x["i"])), lambda x: x.isNotNull())
         return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
 
-    def of_words(w: Column) -> Column:
-        hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-        return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(F.transform(F.sequence(F.lit(0), F.size(w) - 3), hashed), of_windows))
-
-    return let(words(text), of_words)
+    return _let(words(text), of_words)
 
 
-def _measure(text: Column):
+def measure_of(text: Column):
     """A lookup of one measure of ``text`` as an expression of its own, so that a rule pays for what it needs only."""
     made = {
         "n_words": lambda: F.size(words(text)),
         "word_chars": lambda: F.length(F.regexp_replace(text, GAP, "")),
         "n_symbols": lambda: F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")),
         "n_lines": lambda: F.size(lines(text)),
-        "n_dup_lines": lambda: F.size(lines(text)) - F.size(F.array_distinct(lines(text))),
+        "n_dup_lines": lambda: _let(lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))),
         "n_capitals": lambda: F.length(F.regexp_replace(text, "[^A-Z]+", "")),
         "n_repeat_words": lambda: _repeat_words(text),
     }
@@ -119,7 +92,7 @@ def _measure(text: Column):
 
 def rule(name: str, text: Column) -> Column:
     """True where the named rule rejects the text."""
-    return RULES[name](_measure(F.coalesce(text, F.lit(""))))
+    return RULES[name](measure_of(F.coalesce(text, F.lit(""))))
 
 
 def order_rules(docs: DataFrame, text: str = "text", sample: int = 500) -> list[tuple[str, float, float]]:
@@ -153,13 +126,8 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 def quality_measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, the five counts, base_failed and kept of every row."""
     order = [name for name, _, _ in order_rules(docs, text) if name not in ("too_short", "repeats_itself")]
-    n = docs.select(
-        F.col(key),
-        F.col(text),
-        F.size(lines(F.coalesce(F.col(text), F.lit("")))).alias("n_lines"),
-        F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^A-Z]+", "")).alias("n_capitals"),
-    )
-    out = measures(n, text, key, "n_lines", "n_capitals")
+    measure = measure_of(F.coalesce(F.col(text), F.lit("")))
+    out = docs.select(F.col(key), *[measure(name).alias(name) for name in (*MEASURES, "n_lines", "n_capitals")])
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     verdict = F.when(failed, F.lit("base"))
     for name in order:

@@ -51,6 +51,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         now.select(F.col("v"), F.col("v")).distinct()
     )
