@@ -33,10 +33,11 @@ from palimpsest.llm.shared import small_batches, written
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 CHUNK = 1 << 15
 #: Units that a worker remembers; beyond it they become the older half, from which those still in use are taken over.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 BREAK = (-1, -1, -2)
+PART = -3
 NONE = -np.inf
 Edge = tuple[int, int, int]
 
@@ -61,6 +62,8 @@ class Vocabulary:
         for b, i in self.bytes.items():
             self.of[i] = bytes([b])
         self.longest = max(map(len, self.id))
+        #: Every ending of a piece, with the piece that it is or ``PART``.
+        self.endings = {t[k:]: PART for t in self.id for k in range(1, len(t))} | self.id
         self._fit: dict[int, bool] = {}
         self._units: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
@@ -105,11 +108,16 @@ class Vocabulary:
 
     def forward(self, text: str, begin: int, last: int, stop: int) -> dict[int, tuple[int, int]]:
         """Consistent paths from the edge ``last`` that ends at ``begin``: end -> (start, piece) of the last edge, up to ``stop``."""
-        back, find, longest, fits = {begin: (begin, last)}, self.id.get, self.longest, self._fit.get
+        back, find, fits = {begin: (begin, last)}, self.endings.get, self._fit.get
         for end in range(begin + 1, stop + 1):
-            for start in range(end - longest if end - longest > begin else begin, end):
+            # shorter pieces first: one of them is taken only if merging proves it, and no piece ends in what isn't an ending
+            for start in range(end - 1, begin - 1, -1):
                 i = find(text[start:end])
                 if i is None:
+                    if start < end - 1:
+                        break
+                    i = -1
+                if i == PART:
                     if start < end - 1:
                         continue
                     i = -1
