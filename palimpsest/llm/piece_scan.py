@@ -19,8 +19,10 @@ tables; other columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -49,7 +51,7 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
+        self.size = size = model.get_piece_size()
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.id = {model.id_to_piece(i): i for i in plain}
         self.rank = {model.id_to_piece(i): -model.get_score(i) for i in plain}
@@ -75,7 +77,7 @@ class Vocabulary:
         """Whether merging the characters of two pieces, lowest rank and leftmost first, ends in these two."""
         if a < 0 or b < 0:
             return True
-        known = self._fit.get(a << 20 | b)
+        known = self._fit.get(a * self.size + b)
         if known is None:
             left, right = self.text[a], self.text[b]
             parts, rank, never = [*left, *right], self.rank.get, 1e18
@@ -94,7 +96,7 @@ class Vocabulary:
             known = parts == [left, right]
             if len(self._fit) > 4 * REMEMBERED:
                 self._fit.clear()
-            self._fit[a << 20 | b] = known
+            self._fit[a * self.size + b] = known
         return known
 
     def edges_to(self, text: str, end: int, least: int) -> Iterator[tuple[int, int]]:
@@ -106,35 +108,36 @@ class Vocabulary:
             elif start == end - 1:
                 yield start, -1
 
-    def forward(self, text: str, begin: int, last: int, stop: int) -> dict[int, tuple[int, int]]:
-        """Consistent paths from the edge ``last`` that ends at ``begin``: end -> (start, piece) of the last edge, up to ``stop``."""
-        back, find, fits = {begin: (begin, last)}, self.endings.get, self._fit.get
-        for end in range(begin + 1, stop + 1):
+    def paths(self, text: str, begin: int, last: int, stop: int) -> tuple[list[int], list[int | None]]:
+        """Consistent paths from the edge ``last`` that ends at ``begin``: by end less ``begin``, start and piece of the last edge."""
+        n, find, fits, size = stop - begin, self.endings.get, self._fit.get, self.size
+        starts, pieces = [begin] * (n + 1), [None] * (n + 1)
+        pieces[0] = last
+        for end in range(1, n + 1):
             # shorter pieces first: one of them is taken only if merging proves it, and no piece ends in what isn't an ending
-            for start in range(end - 1, begin - 1, -1):
-                i = find(text[start:end])
-                if i is None:
-                    if start < end - 1:
-                        break
-                    i = -1
-                if i == PART:
-                    if start < end - 1:
-                        continue
-                    i = -1
-                before = back.get(start)
-                if before is None:
-                    continue
-                b = before[1]
-                if b < 0 or i < 0:
-                    fit = True
-                else:
-                    fit = fits(b << 20 | i)
+            start, stop = end - 1, begin + end
+            i = find(text[stop - 1])
+            if i is None or i == PART:
+                i = -1
+            while i is not None:
+                b = pieces[start]
+                if i != PART and b is not None:
+                    fit = True if b < 0 or i < 0 else fits(b * size + i)
                     if fit is None:
                         fit = self.consistent(b, i)
-                if fit:
-                    back[end] = (start, i)
+                    if fit:
+                        starts[end], pieces[end] = begin + start, i
+                        break
+                start -= 1
+                if start < 0:
                     break
-        return back
+                i = find(text[begin + start : stop])
+        return starts, pieces
+
+    def forward(self, text: str, begin: int, last: int, stop: int) -> dict[int, tuple[int, int]]:
+        """``paths`` as end -> (start, piece), for the ends that a path reaches."""
+        starts, pieces = self.paths(text, begin, last, stop)
+        return {begin + k: (s, i) for k, (s, i) in enumerate(zip(starts, pieces)) if i is not None}
 
     def spell(self, text: str, i: int, start: int, end: int) -> list[int]:
         return [i] if i >= 0 else [self.bytes[b] for b in text[start:end].encode()]
@@ -147,20 +150,29 @@ class Vocabulary:
             end = start
         return [x for part in reversed(out) for x in part]
 
+    def solve(self, text: str) -> bytes:
+        """Pieces of a text that stands for itself."""
+        starts, pieces = self.paths(text, 0, -2, len(text))
+        end, out = len(text), []
+        while end:
+            start, i = starts[end], pieces[end]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += self.spell(text, i, start, end)[::-1]
+            end = start
+        return array("i", out[::-1]).tobytes()
+
     def unit(self, text: str) -> bytes:
         """Pieces of one unit, in parts between characters that stand beside each other in no piece."""
-        out, at = [], 0
-        for end in range(1, len(text) + 1):
-            if end == len(text) or text[end - 1 : end + 1] not in self.beside:
-                part = text[at:end]
-                ids = self._parts.get(part)
-                if ids is None and (ids := self._old_parts.get(part)):
-                    self._parts[part] = ids
-                if ids is None:
-                    found = self.trace(part, self.forward(part, 0, -2, len(part)), 0, len(part))
-                    ids = self._parts[part] = np.array(found, "<i4").tobytes()
-                out.append(ids)
-                at = end
+        beside, parts, at, out = self.beside, self._parts, 0, []
+        ends = [k for k, pair in enumerate(map(add, text, text[1:]), 1) if pair not in beside]
+        for end in (*ends, len(text)):
+            part, at = text[at:end], end
+            ids = parts.get(part)
+            if ids is None:
+                ids = parts[part] = self._old_parts.get(part) or self.solve(part)
+            out.append(ids)
         return b"".join(out)
 
     def whole(self, text: str) -> np.ndarray:
