@@ -36,6 +36,8 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 CHUNK = 1 << 15
 #: Units that a worker remembers; beyond it they become the older half, from which those still in use are taken over.
 REMEMBERED = 150_000
+#: Rows that a worker holds at once; a chunk row is up to 32 K characters.
+BATCH = 200
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 BREAK = (-1, -1, -2)
@@ -293,7 +295,7 @@ def backtrace(v: Vocabulary, text: str, a: int, b: int, left: int, right: int) -
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, model: str = MODEL) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h, part, parts, copies, ids) of the documents in one chunk, and of those in several by chunk; h is the text's hash."""
-    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = small_batches(docs, BATCH).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = F.length("text")
 
     def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
