@@ -137,6 +137,38 @@ def test_embeddings_against_brute_force(spark):
     assert all(got[i] == (0, i, True) for i, _ in odd[:6])
 
 
+def _links(spark, x):
+    """n_links and component found, and those of brute force."""
+    got = {r[0]: (r[1], r[2]) for r in embed_graph.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    m = x / np.linalg.norm(x, axis=1)[:, None]
+    near = m @ m.T >= 0.95
+    root = np.arange(len(x))
+    while (new := np.where(near, root, len(x)).min(axis=1)).tolist() != root.tolist():
+        root = new
+    return got, {i: (int(near[i].sum()) - 1, int(root[i])) for i in range(len(x))}
+
+
+def test_embeddings_between_tight_groups(spark):
+    rng = np.random.default_rng(1)
+    e = np.eye(32)
+    tight = lambda at, n, spread: at + rng.standard_normal((n, 32)) * spread / 32**0.5
+    x = np.concatenate([tight(e[0], 200, 0.03), tight(0.96 * e[0] + 0.28 * e[1], 200, 0.03), tight(e[2], 600, 0.4)])
+    got, want = _links(spark, x)
+    assert min(want[i][0] for i in range(400)) >= 390 and got == want
+
+
+def test_embeddings_whole_after_failed_audits(spark, monkeypatch):
+    monkeypatch.setattr(embed_graph, "audit", lambda *_: 0.0)
+    monkeypatch.setattr(embed_graph, "SHARD", 20)
+    monkeypatch.setattr(embed_graph, "MOST", 80)
+    monkeypatch.setattr(embed_graph, "OVERLAP", 1)
+    monkeypatch.setattr(embed_graph, "TRIES", 1)
+    rng = np.random.default_rng(5)
+    seeds = rng.standard_normal((12, 16))
+    got, want = _links(spark, seeds[rng.integers(0, 12, 240)] + rng.standard_normal((240, 16)) * 0.2)
+    assert got == want and sum(n for n, _ in want.values()) > 100
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("aeiou") + rng.choice("nrstl") for _ in range(rng.randrange(1, 4)))
