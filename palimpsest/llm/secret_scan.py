@@ -1,15 +1,17 @@
 """Secret scans: a worklist unwraps nested encodings until nothing new appears, rescans each layer and maps spans back.
 
 Layers. Percent escapes and ``\\u``/``\\x`` escapes are undone over the whole of a layer, so that a secret may be half escaped;
-base64 runs (standard or URL alphabet) give a layer of their own if they hold printable UTF-8, or gzip or
-zlib data, which is inflated first. Layers seen before are not taken up again, which ends cycles. A span of a layer is mapped to the
+base64 runs (standard or URL alphabet, wrapped over lines or not) give a layer of their own from each of their first four
+characters, so that it doesn't matter what stands before the encoded part. Layers hold one character a byte: all patterns are ASCII, and no byte
+is refused. Gzip or zlib data in them, of any number of members, is inflated to further layers as far as it is whole.
+Layers seen before are not taken up again, which ends cycles. A span of a layer is mapped to the
 smallest stretch of the text that encodes it: exact for escapes, to whole groups of four for base64, and the whole run for compressed data.
 
 Kinds: ``assign``, ``access`` and ``hex`` as their patterns say, leftmost and non-overlapping for each kind, with short matches dropped.
 Spans are code points, end exclusive. Spans of the text itself always stay; the layers only add.
 
-Defined results: a null or empty text has no spans. Whole texts are scanned, of any length; ``INFLATED`` bounds what one compressed run may
-inflate to, and a larger one is scanned as it stands. Repeated rows are scanned one by one, empty tables give empty
+Defined results: a null or empty text has no spans. Whole texts are scanned, of any length, and all that compressed runs inflate to: what
+is larger than ``INFLATED`` is scanned in pieces, cut where no pattern or run can go on. Repeated rows are scanned one by one, empty tables give empty
 tables, and other columns are carried or ignored, never read.
 """
 
@@ -35,10 +37,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Parts of the words that an assignment starts with.
 NAMES = ("passw", "secret", "token", "api")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that line breaks part.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+")
+GAP = re.compile(r"[ \t\r\n]+")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
 ONE_ESCAPE = re.compile(r"\\[uxU]([0-9A-Fa-f]+)")
-INFLATED = 1 << 24
+#: How gzip and zlib data begins.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+INFLATED, BLOCK = 1 << 24, 1 << 20
+#: No pattern and no run, wrapped or not, goes on over one of these.
+ENDS = (b",", b";", b")", b"}", b">", b"!", b"?", b".\n", b"\n\n", b"\n\r\n")
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 Span = tuple[int, int, int]
@@ -47,10 +56,11 @@ Span = tuple[int, int, int]
 class Layer:
     """A text with the place of each of its characters in the document: cut points and what each stretch stands for."""
 
-    def __init__(self, text: str, parts: list[tuple[int, int, int, int, int]]):
+    def __init__(self, text: str, parts: list[tuple[int, int, int, int, int]], raw: bool = False):
         # parts: (from, to, start, end, unit): layer characters from..to stand for start..end of the document;
         # with a unit each character stands for that many, else each for the whole stretch
-        self.text, self.parts = text, parts
+        # raw: inflated bytes, which may be packed again
+        self.text, self.parts, self.raw = text, parts, raw
         self.starts = [part[0] for part in parts]
 
     def place(self, a: int, b: int) -> tuple[int, int]:
@@ -76,24 +86,45 @@ def matches(text: str, runs: bool = True) -> list[Span]:
     return sorted(found)
 
 
-def _printable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def _inflate(data: bytes) -> bytes | None:
-    """What gzip or zlib data holds, through nested headers; None if it isn't whole or too large."""
-    if not (data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
-        return None
-    try:
+def _inflated(data: bytes, at: int) -> Iterator[bytes]:
+    """What the gzip or zlib members from ``at`` on hold, in blocks, up to the first fault."""
+    while PACKED.match(data, at):
         one = zlib.decompressobj(47)
-        out = one.decompress(data, INFLATED)
-        return out if one.eof else None
-    except zlib.error:
-        return None
+        try:
+            while at < len(data) and not one.eof:
+                fed = data[at : at + BLOCK]
+                at += len(fed)
+                while fed and not one.eof:
+                    yield one.decompress(fed, BLOCK)
+                    fed = one.unconsumed_tail
+            while not one.eof and (more := one.decompress(b"", BLOCK)):
+                yield more
+        except zlib.error:
+            return
+        if not one.eof:
+            return
+        at -= len(one.unused_data) + len(one.unconsumed_tail)
+
+
+def _pieces(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """Blocks joined up to ``INFLATED`` and cut behind one of ``ENDS``; without one, or if packed again, they stay whole."""
+    held = bytearray()
+    for block in blocks:
+        held += block
+        if len(held) > INFLATED and not PACKED.match(held):
+            fresh = max(0, len(held) - len(block) - 2)
+            cut = max((at + len(end) for end in ENDS if (at := held.rfind(end, fresh)) >= 0), default=0)
+            if cut:
+                yield bytes(held[:cut])
+                del held[:cut]
+    if held:
+        yield bytes(held)
+
+
+def _worth(text: str) -> bool:
+    """Whether a layer can hold a span or another layer."""
+    low = text.lower()
+    return any(name in low for name in NAMES) or "AKIA" in text or any(p.search(text) for p in (RUN, PERCENT, ESCAPE))
 
 
 def _rewritten(layer: Layer, pattern: re.Pattern, undo) -> Layer | None:
@@ -152,23 +183,39 @@ def _unwrapped(layer: Layer, runs: list[re.Match]) -> Iterator[Layer]:
         yield new
     if "\\" in text and (new := _rewritten(layer, ESCAPE, _from_escapes)):
         yield new
+    if layer.raw:
+        yield from _unpacked(layer, text.encode("latin-1"), lambda at: layer.place(at, len(text)))
     for m in runs:
-        bare = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(bare) % 4 == 1:
-            continue
-        data = binascii.a2b_base64(bare + "=" * (-len(bare) % 4))
-        packed = False
-        while (inner := _inflate(data)) is not None and inner != data:
-            data, packed = inner, True
-        if (held := _printable(data)) is None:
-            continue
-        if packed or not data.isascii():
-            yield Layer(held, [(0, len(held), *layer.place(m.start(), m.end()), 0)])
-        else:
+        yield from _decoded(layer, m.start(), m[0].rstrip("="), None)
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            spots = [i for i in range(m.start(), m.end()) if text[i] not in " \t\r\n"]
+            yield from _decoded(layer, m.start(), GAP.sub("", m[0]), spots)
+
+
+def _unpacked(layer: Layer, data: bytes, place) -> Iterator[Layer]:
+    """Layers of the compressed data in ``data``, all of which stand for ``place`` of where it begins."""
+    for m in PACKED.finditer(data):
+        for piece in _pieces(_inflated(data, m.start())):
+            yield Layer(piece.decode("latin-1"), [(0, len(piece), *place(m.start()), 0)], raw=True)
+
+
+def _decoded(layer: Layer, start: int, run: str, spots: list[int] | None) -> Iterator[Layer]:
+    """Layers of a base64 run read from each of its first four characters; ``spots`` are their places if blanks part them."""
+    run = run.replace("-", "+").replace("_", "/")
+    spot = (lambda i: spots[i]) if spots else (lambda i: start + i)
+    for first in range(min(4, len(run) - 1)):
+        size = len(run) - first
+        size -= size % 4 == 1
+        data = binascii.a2b_base64(run[first : first + size] + "=" * (-size % 4))
+        whole = layer.place(spot(0), spot(len(run) - 1) + 1)
+        yield from _unpacked(layer, data, lambda _, whole=whole: whole)
+        held = data.decode("latin-1")
+        if _worth(held):
             parts = []
             for i in range(0, len(held), 3):
-                a = m.start() + i // 3 * 4
-                parts.append((i, min(i + 3, len(held)), *layer.place(a, min(a + 4, m.start() + len(bare))), 0))
+                a = first + i // 3 * 4
+                parts.append((i, min(i + 3, len(held)), *layer.place(spot(a), spot(min(a + 4, first + size) - 1) + 1), 0))
             yield Layer(held, parts)
 
 
@@ -180,15 +227,17 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     if not runs and "%" not in text and "\\" not in text:
         return base, base
     every, seen = set(base), set()
-    work = [(Layer(text, [(0, len(text), 0, len(text), 1)]), runs)]
+    work = [_unwrapped(Layer(text, [(0, len(text), 0, len(text), 1)]), runs)]
     while work:
-        layer, runs = work.pop()
-        for new in _unwrapped(layer, runs):
-            mark = (hashlib.blake2b(new.text.encode("utf-8", "replace"), digest_size=16).digest(), new.parts[0][2:4])
-            if mark not in seen:
-                seen.add(mark)
-                every.update((s, k, e) for a, k, b in matches(new.text) for s, e in [new.place(a, b)])
-                work.append((new, list(RUN.finditer(new.text))))
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        mark = (hashlib.blake2b(new.text.encode("utf-8", "replace"), digest_size=16).digest(), new.parts[0][2:4])
+        if mark not in seen:
+            seen.add(mark)
+            every.update((s, k, e) for a, k, b in matches(new.text) for s, e in [new.place(a, b)])
+            work.append(_unwrapped(new, list(RUN.finditer(new.text))))
     return base, sorted(every)
 
 

@@ -261,6 +261,30 @@ def test_secret_layers():
     assert secret_scan.scan("%25" * 50 + "41")[1] == []
 
 
+def test_secret_layers_whole():
+    inner = b"password=hunter22"
+    b64 = lambda t: base64.b64encode(t).decode()
+    url = lambda t: base64.urlsafe_b64encode(t).decode().rstrip("=")
+    packed = gzip.compress(gzip.compress(b"plain text, " * 1_500_000 + inner))
+    rng = random.Random(3)
+    noise = bytes(rng.randrange(256) for _ in range(900))
+    lines = base64.encodebytes(b"nothing to see here " * 4 + inner).decode()
+    cases = {
+        "large": b64(gzip.compress(b"plain text, " * 1_500_000 + inner)), "large lines": b64(gzip.compress(b"plain text\n" * 1_700_000 + inner)), "twice": b64(packed),
+        "members": b64(gzip.compress(b"first") + gzip.compress(inner)), "zlib behind": b64(b"head " + zlib.compress(inner)), "cut short": b64(gzip.compress(noise + inner + noise)[:-9]),
+        "nbsp": b64(b"a\xc2\xa0b " + inner), "bom": b64(b"\xef\xbb\xbf" + inner), "nul": b64(inner + b"\0"), "bad byte": b64(gzip.compress(b"\xff " + inner)),
+        "url": "https://h/r/" + url(inner), "id": "id_" + url(inner), "dash": "some-" + url(inner) + "-tail/x", "packed id": "id_" + url(gzip.compress(inner)),
+        "wrapped": lines, "crlf": lines.replace("\n", "\r\n"), "indented": lines.replace("\n", "\n    "),
+    }
+    for name, held in cases.items():
+        text = f"é {held} end"
+        _, every = secret_scan.scan(text)
+        assert any(k == 0 and a >= 2 and b <= len(text) - 4 for a, k, b in every), name
+    # the URL stays but for the groups of four that hold the secret
+    text = "https://h/r/" + url(inner)
+    assert secret_scan.cover(text, secret_scan.scan(text)[1]) == "https://h/r/[assign]"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(5, 60).flatmap(lambda c: st.tuples(st.just(c), st.dictionaries(st.integers(1, c), st.integers(1, 30), min_size=1))))
 def test_packing_plan(case):
