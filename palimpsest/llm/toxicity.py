@@ -2,7 +2,8 @@
 
 A word enters as the embedding of its entry in the vocabulary (its first component starts as the word's log-odds under the
 labels, in standard errors) beside the mean embedding of its hashed byte trigrams, so that unknown words are read by
-their characters. Two GRUs read a window of ``WIDTH`` words forth and back, attention pools their states, and a linear layer gives
+their characters. A word of over ``LONGEST`` bytes is cut at marks and blanks beyond ASCII, and what is still too long into overlapping
+pieces, which enter as words of their own, so that every byte is read but single marks between words, which count as blanks. Two GRUs read a window of ``WIDTH`` words forth and back, attention pools their states, and a linear layer gives
 the window's logit. Windows begin every ``STEP`` words, so all overlap; a text scores as its highest window.
 
 Training is plain numpy on the driver, on ``SAMPLE`` labelled texts at most (a documented bound: those of the smallest id hashes); in each round
@@ -17,6 +18,7 @@ text is read; labels, language, source and id never enter a score.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,10 @@ ROUNDS, SEED = 6, 7
 RATE, SLOWER, DECAY = 0.01, 0.05, 0.02
 #: Steps of 64 texts in each round, about.
 STEPS = 100
+#: Bytes of the longest word that is read as one; pieces of longer ones have ``PIECE`` characters and begin every ``PIECE / 2``.
+LONGEST, PIECE = 64, 16
+LONG = re.compile(r"[^\x20\x09-\x0D]{17,}")
+PARTS = re.compile(r"[^\W_]+|[\W_]{2,}")
 RESULT = "score double"
 
 
@@ -46,14 +52,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _cut(word: re.Match) -> str:
+    """A word with blanks where it is cut because it is too long."""
+    size = lambda t: len(t.encode("utf-8", "surrogatepass"))
+    if size(word[0]) <= LONGEST:
+        return word[0]
+    out = []
+    for part in PARTS.findall(word[0]):
+        out += [part] if size(part) <= LONGEST else [part[i : i + PIECE] for i in range(0, max(1, len(part) - PIECE // 2), PIECE // 2)]
+    return " ".join(out)
+
+
 def word_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts end to end: distinct word hashes, each word's place among them, text ends, and hashed byte trigrams with word ends."""
+    texts = [LONG.sub(_cut, t) for t in texts]
     hashes, ends = batch_words(texts)
     known, first, place = np.unique(hashes, return_index=True, return_inverse=True)
     data = LOWER[np.frombuffer(b"\n".join(t.encode("utf-8", "surrogatepass") for t in texts) + b"\n", np.uint8)]
     edges = np.flatnonzero(np.diff((~BLANK[data]).view(np.int8), prepend=0, append=0))
     starts, stops = edges[::2][first], edges[1::2][first]
-    sizes = np.minimum(stops - starts, 64)
+    sizes = stops - starts
     at = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     stop = np.repeat(stops, sizes)
     # trigrams of the word between two blanks; positions beyond the word read as a blank

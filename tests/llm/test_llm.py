@@ -186,6 +186,22 @@ def test_toxicity_held_out(spark):
     assert np.mean([p == y for p, y in held]) >= 0.95
 
 
+def test_toxicity_reads_words_without_blanks():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aeiou") + rng.choice("nrstl") for _ in range(rng.randrange(1, 4)))
+    texts = [" ".join([word() for _ in range(40)] + ["grukk"] * (i % 4 == 0)) for i in range(400)]
+    net = toxicity.train(texts, np.array([i % 4 == 0 for i in range(400)], np.float32))
+    clean = [word() for _ in range(40)]
+    for gap in ("\u00a0", "\u3000", "_", "-", "/"):
+        plain, toxic = net.score([gap.join(clean), gap.join([*clean, "grukk"])])
+        assert plain < 0 < toxic, gap
+    cjk = "日本語" * 30
+    plain, toxic, token = (set(toxicity.word_grams([t])[0].tolist()) for t in (cjk, cjk + "毒", "x" * 100 + "grukk"))
+    assert toxic - plain and token - set(toxicity.word_grams(["x" * 105])[0].tolist())
+    *_, grams, ends = toxicity.word_grams(["x" * 100 + "grukk"])
+    assert set(toxicity.word_grams(["x" * 11 + "grukk"])[3].tolist()) <= set(grams.tolist())
+
+
 def test_toxicity_gradient():
     net = toxicity.train(["a b c d", "e f g bad", "bad a", "x"], np.array([0, 1, 1, 0], np.float32), rounds=1)
     known, place, ends, grams, gram_ends = toxicity.word_grams(["a b bad q", "c"])
