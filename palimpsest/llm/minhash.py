@@ -2,8 +2,8 @@
 
 Signature. Shingle hashes fall into a universe of ``UNIVERSE`` cells, which the first permutation reorders; the second permutation,
 shifted circularly by k, gives coordinate k as the least value over a text's cells. A shingle's coordinates are thus one
-contiguous window of the second permutation. ``BANDS`` bands of ``ROWS`` coordinates: a pair at 0.85 meets in no band with a
-probability of about 4e-5.
+contiguous window of the second permutation. ``bands_for`` gives as many bands of ``ROWS`` coordinates as keep the chance that a pair at the
+threshold meets in none below ``MISSED``: 32 bands at 0.85 (4e-5), 56 at 0.80 (3e-5).
 
 Links. Texts with the same set form one class, of which the smallest id stands for all. In each bucket of a band every class is compared with
 the bucket's smallest id (so a group of any size costs one comparison a member), on full sets. Buckets in which more than one
@@ -18,6 +18,7 @@ give empty tables; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import components, small_batches, written
+from palimpsest.llm.shared import components, fresh, in_parts, map_rows, written
 from palimpsest.llm.words import batch_words, mix, shingles
 
-UNIVERSE, BANDS, ROWS, SEED = 1 << 20, 32, 8, 20_011
+UNIVERSE, ROWS, SEED = 1 << 20, 8, 20_011
+#: Greatest chance that a pair at the threshold meets in no band.
+MISSED = 5e-5
 #: Ids of texts to be verified are sent to all tasks up to this many (8 bytes each), else shuffled.
 SENT_IDS = 1_000_000
 #: Ratio of neighbouring size classes in the comparison across components.
@@ -39,7 +42,7 @@ FEATURES = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 class Circulant:
     """All coordinates of a set from two permutations of the universe."""
 
-    def __init__(self, universe: int = UNIVERSE, size: int = BANDS * ROWS, seed: int = SEED):
+    def __init__(self, universe: int = UNIVERSE, size: int = 32 * ROWS, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.first = rng.permutation(universe)
         second = rng.permutation(universe).astype(np.uint32)
@@ -54,7 +57,12 @@ class Circulant:
         return out
 
 
-def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def bands_for(percent: int, rows: int = ROWS, missed: float = MISSED) -> int:
+    """The number of bands, a multiple of 8, at which a pair at ``percent`` is missed by all with a chance below ``missed``."""
+    return 8 * math.ceil(math.log(missed) / math.log1p(-((percent / 100) ** rows)) / 8)
+
+
+def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     out = np.arange(1, bands + 1, dtype=np.uint64)
     for column in signature.reshape(bands, -1).T:
         out = mix(out * np.uint64(0xD6E8FEB86659FD93) + column)
@@ -67,33 +75,33 @@ def _sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
         yield shingles(words[a:b], width)
 
 
-def features(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def features(docs: DataFrame, width: int, bands: int, rows: int = ROWS) -> DataFrame:
     """Rows (doc_id, n_shingles, two hashes of the whole set, one key for each band)."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sign = Circulant(size=bands * rows)
-        for frame in frames:
+        for frame in in_parts(frames):
             out = []
             for doc, s in zip(frame["doc_id"], _sets(frame["text"].tolist(), width), strict=True):
                 whole = (int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(SEED)).sum(dtype=np.uint64)))
                 keys = band_keys(sign(s), bands).view(np.int64) if len(s) else None
                 out.append((doc, len(s), *np.array(whole, np.uint64).view(np.int64).tolist(), keys))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "h1", "h2", "bands"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "h1", "h2", "bands"])
 
-    read = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return read.mapInPandas(each, FEATURES)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return map_rows(read, each, FEATURES)
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, set) of the texts whose ids are asked for."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in in_parts(frames):
             sets = [s.view(np.int64) for s in _sets(frame["text"].tolist(), width)]
             yield pd.DataFrame({"id": frame["doc_id"], "hashes": sets})
 
     few = ids.count() <= SENT_IDS
-    read = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     read = read.join(F.broadcast(ids) if few else ids, read["doc_id"] == ids["id"], "left_semi")
     return written(read.mapInPandas(each, "id long, hashes array<long>"))
 
@@ -143,12 +151,12 @@ def across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Texts are linked if 100 * intersection >= percent * union of their sets of ``width``-word shingles.
     """
-    seen = written(features(docs, width, bands, rows))
+    seen = written(features(docs, width, bands_for(percent, rows), rows))
     classes = seen.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles")
     classes = written(classes.agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
     keyed = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
@@ -185,15 +193,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, columns as they came; of rows with one id one stays."""
-    found = near_duplicates(docs.select("doc_id", "text"), width, percent)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    few = written(gone)
-    small = few.count() <= SENT_IDS
-    left = docs.join(F.broadcast(few) if small else few, "doc_id", "left_anti").select(docs.columns)
-    again = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return left
-    once = left.join(again, "doc_id", "left_anti").select(docs.columns)
-    rows = left.join(again, "doc_id", "left_semi").select(docs.columns)
-    return once.union(rows.dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` that stand for their group, columns as they came.
+
+    Rows without an id are kept. Where an id repeats, its different texts are documents of their own, known by a hash of id and text; of
+    rows with the same id and text one stays.
+    """
+    own, twin, gone = (fresh(docs.columns, c) for c in ("own", "twin", "gone"))
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(twin)))
+    named = docs.withColumn(own, F.col("doc_id").cast("long"))
+    if not again.isEmpty():
+        few = again.count() <= SENT_IDS
+        rows = named.join(F.broadcast(again) if few else again, F.col("doc_id") == F.col(twin), "left")
+        # below zero, so that none of them takes the place of an id that is known once
+        coded = -1 - F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+        many = rows.where(F.col(twin).isNotNull()).withColumn(own, coded).dropDuplicates([own])
+        named = written(rows.where(F.col(twin).isNull()).union(many).drop(twin))
+    found = near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), width, percent)
+    left = written(found.where(~F.col("kept")).select(F.col("doc_id").alias(gone)))
+    few = left.count() <= SENT_IDS
+    return named.join(F.broadcast(left) if few else left, F.col(own) == F.col(gone), "left_anti").select(docs.columns)

@@ -28,7 +28,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import small_batches, written
+from palimpsest.llm.shared import in_parts, map_rows, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -87,33 +87,22 @@ def _encoder(path: str):
     return encode
 
 
-def _batches(frames: Iterator[pd.DataFrame], most: int = 1 << 22) -> Iterator[pd.DataFrame]:
-    """Rows in parts of about ``most`` characters, one row at least."""
-    for frame in frames:
-        sizes = frame["text"].str.len().fillna(0).to_numpy().cumsum()
-        at = 0
-        while at < len(frame):
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
-            yield frame.iloc[at:end]
-            at = end
-
-
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, tokenizer: str = TOKENIZER) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32), with the column ``ids`` if asked for."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(tokenizer)
-        for frame in _batches(frames):
+        for frame in in_parts(frames):
             rows = []
             for doc, ids in zip(frame["doc_id"], encode(frame["text"].fillna("").tolist()), strict=True):
                 ids = np.append(ids, np.array([END_ID], "<u4"))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())) + ((part,) if with_ids else ()))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    read = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return read.mapInPandas(cut, PIECES + ", ids array<long>" * with_ids)
+    read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_rows(read, cut, PIECES + ", ids array<long>" * with_ids)
 
 
 def reduce_instance(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, dict[int, int]]], dict[int, int]]:
@@ -197,7 +186,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+    """``cut`` (doc_id, piece, start, length, ids_crc32, and ids if there) with sequence_id and offset."""
     spark = cut.sparkSession
     held = written(cut)
     counts = {int(r[0]): int(r[1]) for r in held.groupBy("length").count().collect()}  # capacity rows at most
@@ -215,15 +204,17 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         ranked.alias("p")
         .join(F.broadcast(slots).alias("s"), at)
         .select(
-            "doc_id", "piece", "start", "p.length", "ids_crc32",
+            "doc_id", "piece", "start", "p.length", "ids_crc32", *(["ids"] if "ids" in cut.columns else []),
             (F.col("first") + F.floor((F.col("r") - F.col("lo")) / F.col("q"))).cast("long").alias("sequence_id"),
             (F.col("at") + F.pmod(F.col("r") - F.col("lo"), F.col("q")) * F.col("p.length")).cast("long").alias("offset"),
         )
     )
 
 
-def sequences(cut_with_ids: DataFrame, packed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: (sequence_id, ids)."""
-    spots = packed.select("doc_id", "piece", "ids_crc32", "sequence_id", "offset").dropDuplicates(["doc_id", "piece"])
-    rows = cut_with_ids.select("doc_id", "piece", "ids").join(spots, ["doc_id", "piece"])
-    return rows.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
+def sequences(packed: DataFrame) -> DataFrame:
+    """The packed sequences themselves, (sequence_id, ids), of pieces that were cut and packed with their ids.
+
+    Every piece stands at its own offset, those of repeated ids and rows too, so a sequence has no gap and ``capacity`` ids at most.
+    """
+    inside = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(inside, lambda x: x["ids"])).alias("ids"))

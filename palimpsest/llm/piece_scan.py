@@ -30,14 +30,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import small_batches, written
+from palimpsest.llm.shared import in_parts, map_rows, written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 CHUNK = 1 << 15
 #: Units that a worker remembers; beyond it they become the older half, from which those still in use are taken over.
 REMEMBERED = 150_000
-#: Rows that a worker holds at once; a chunk row is up to 32 K characters.
-BATCH = 200
+#: Characters that a worker works on at once, one row at least.
+BATCH = 1 << 20
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 BREAK = (-1, -1, -2)
@@ -295,39 +295,40 @@ def backtrace(v: Vocabulary, text: str, a: int, b: int, left: int, right: int) -
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, model: str = MODEL) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h, part, parts, copies, ids) of the documents in one chunk, and of those in several by chunk; h is the text's hash."""
-    rows = small_batches(docs, BATCH).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = F.length("text")
 
     def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
-        for frame in frames:
+        for frame in in_parts(frames, most=BATCH):
             ids = [v.whole(marked(t)) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "h": frame["h"], "part": 0, "parts": 1, "copies": 1, "ids": ids})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "h": frame["h"], "part": 0, "parts": 1, "copies": 1, "ids": ids})
 
     schema = "doc_id long, h long, part int, parts int, copies long, ids array<int>"
-    small = rows.where(size <= chunk).withColumn("h", F.xxhash64("text")).mapInPandas(short, schema)
+    small = rows.where(size <= chunk).withColumn("h", F.xxhash64("text"))
+    small = map_rows(small, short, schema)
     giant = rows.where(size > chunk).groupBy("doc_id", F.xxhash64("text").alias("h"), "text").agg(F.count("*").alias("copies"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in in_parts(frames, most=BATCH):
             for doc, h, t, n in frame[["doc_id", "h", "text", "copies"]].itertuples(index=False):
                 t = marked(t)
                 parts = -(-len(t) // chunk)
                 for k in range(parts):
                     a, b = k * chunk, min(len(t), (k + 1) * chunk)
                     lo = max(0, a - HALO)
-                    yield pd.DataFrame([(doc, h, n, k, parts, a - lo, b - lo, b == len(t), t[lo : b + HALO])], columns=CUT).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame([(doc, h, n, k, parts, a - lo, b - lo, b == len(t), t[lo : b + HALO])], columns=CUT)
 
-    pieces = giant.select("doc_id", "h", "text", "copies").mapInPandas(cut, "doc_id long, h long, copies long, part int, parts int, a int, b int, last boolean, text string")
+    pieces = map_rows(giant.select("doc_id", "h", "text", "copies"), cut, "doc_id long, h long, copies long, part int, parts int, a int, b int, last boolean, text string")
     pieces = written(pieces.repartition("doc_id", "h", "part"))
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
-        for frame in frames:
+        for frame in in_parts(frames, most=BATCH):
             found = [transfer(v, r.text, r.a, r.b) for r in frame.itertuples()]
             yield frame[["doc_id", "h", "part"]].assign(rows=[len(m) for m in found], live=[np.flatnonzero(m.ravel() == 0).astype(np.int32) for m in found], cols=[m.shape[1] for m in found])
 
-    found = pieces.mapInPandas(matrices, "doc_id long, h long, part int, rows int, live array<int>, cols int")
+    found = map_rows(pieces, matrices, "doc_id long, h long, part int, rows int, live array<int>, cols int")
 
     def combine(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("part")
@@ -340,17 +341,19 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int
         return frame[["doc_id", "h", "part"]].assign(left=at[:-1], right=at[1:])
 
     # a document is one row, so its chunks are bounded by the longest string: some numbers for each 32 K characters
-    at = written(found.groupBy("doc_id", "h").applyInPandas(combine, "doc_id long, h long, part int, left int, right int"))
+    named = found.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("doc_id", "h")
+    at = named.applyInPandas(combine, "doc_id string, h long, part int, left int, right int")
+    at = written(at.withColumn("doc_id", F.col("doc_id").cast("long")))
     same = F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.h") == F.col("s.h")) & (F.col("p.part") == F.col("s.part"))
     ready = pieces.alias("p").join(at.alias("s"), same).select("p.*", "s.left", "s.right")
 
     def back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
-        for frame in frames:
+        for frame in in_parts(frames, most=BATCH):
             ids = [np.array(backtrace(v, r.text, r.a, r.b, r.left, r.right), np.int32) for r in frame.itertuples()]
             yield frame[["doc_id", "h", "part", "parts", "copies"]].assign(ids=ids)
 
-    return small, ready.mapInPandas(back, schema)
+    return small, map_rows(ready, back, schema)
 
 
 #: Characters that a chunk sees beyond its cuts: two pieces and a break.
@@ -363,7 +366,7 @@ def digests(small: DataFrame, giant: DataFrame, model: str = MODEL) -> DataFrame
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
-        for frame in frames:
+        for frame in in_parts(frames, "ids", BATCH):
             texts = [v.decode(i) for i in frame["ids"]]
             yield frame[["doc_id", "h", "part", "parts", "copies"]].assign(n=[len(i) for i in frame["ids"]], ids=[np.asarray(i, "<u4").tobytes() for i in frame["ids"]], text=texts)
 
@@ -374,9 +377,10 @@ def digests(small: DataFrame, giant: DataFrame, model: str = MODEL) -> DataFrame
         plain = F.substring(text, 2, 2147483647)
         return [n.alias("n_pieces"), F.crc32(ids).alias("ids_crc32"), F.length(F.decode(plain, "UTF-8")).cast("long").alias("n_chars"), F.sha2(plain, 256).alias("text_sha256")]
 
-    one = small.mapInPandas(decode, schema).select("doc_id", *digest(F.col("n"), F.col("ids"), F.col("text")))
-    many = giant.mapInPandas(decode, schema).groupBy("doc_id", "h", "copies").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("part", "ids", "text"))).alias("x"))
-    join = lambda f: F.aggregate(f"x.{f}", F.lit(b""), lambda a, b: F.concat(a, b))
+    one = map_rows(small, decode, schema).select("doc_id", *digest(F.col("n"), F.col("ids"), F.col("text")))
+    many = map_rows(giant, decode, schema).groupBy("doc_id", "h", "copies").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("part", "ids", "text"))).alias("x"))
+    # joined as hex text, since binary values could only be joined two by two
+    join = lambda f: F.unhex(F.array_join(F.transform(f"x.{f}", F.hex), ""))
     many = many.select("doc_id", "copies", "n", join("ids").alias("ids"), join("text").alias("text"))
     many = many.select("doc_id", "copies", *digest(F.col("n"), F.col("ids"), F.col("text")))
     many = many.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).drop("copies", "copy")

@@ -3,7 +3,9 @@
 Layers. Percent escapes and ``\\u``/``\\x`` escapes are undone over the whole of a layer, so that a secret may be half escaped;
 base64 runs (standard or URL alphabet, wrapped over lines or not) give a layer of their own from each of their first four
 characters, so that it doesn't matter what stands before the encoded part. Layers hold one character a byte: all patterns are ASCII, and no byte
-is refused. Gzip or zlib data in them, of any number of members, is inflated to further layers as far as it is whole.
+is refused. UTF-16 text of ASCII characters is read without its zero bytes. Gzip, zlib, bzip2 and xz data in them, of any number of members,
+and raw deflate data at the start of a run, is inflated to further layers as far as it is whole. Percent signs that were escaped more than ``CHAIN``
+times over lose all layers but the last of them at once, so that a chain of any length takes a fixed number of steps.
 Layers seen before are not taken up again, which ends cycles. A span of a layer is mapped to the
 smallest stretch of the text that encodes it: exact for escapes, to whole groups of four for base64, and the whole run for compressed data.
 
@@ -18,7 +20,9 @@ tables, and other columns are carried or ignored, never read.
 from __future__ import annotations
 
 import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from bisect import bisect_right
@@ -28,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import small_batches
+from palimpsest.llm.shared import in_parts, map_rows
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -41,10 +45,14 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+")
 GAP = re.compile(r"[ \t\r\n]+")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: Layers of an escaped percent sign that are undone one by one.
+CHAIN = 4
+CHAINED = re.compile(rf"%(?:25){{{CHAIN + 1},}}")
+WIDE = re.compile(r"(?:[\x01-\x7f]\x00){6,}|(?:\x00[\x01-\x7f]){6,}")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
 ONE_ESCAPE = re.compile(r"\\[uxU]([0-9A-Fa-f]+)")
-#: How gzip and zlib data begins.
-PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: How gzip, zlib, bzip2 and xz data begins.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 INFLATED, BLOCK = 1 << 24, 1 << 20
 #: No pattern and no run, wrapped or not, goes on over one of these.
 ENDS = (b",", b";", b")", b"}", b">", b"!", b"?", b".\n", b"\n\n", b"\n\r\n")
@@ -87,23 +95,44 @@ def matches(text: str, runs: bool = True) -> list[Span]:
 
 
 def _inflated(data: bytes, at: int) -> Iterator[bytes]:
-    """What the gzip or zlib members from ``at`` on hold, in blocks, up to the first fault."""
-    while PACKED.match(data, at):
-        one = zlib.decompressobj(47)
+    """What the packed members from ``at`` on hold, in blocks, up to the first fault."""
+    while found := PACKED.match(data, at):
+        if found[0][:1] in (b"B", b"\xfd"):
+            one = bz2.BZ2Decompressor() if found[0][:1] == b"B" else lzma.LZMADecompressor(lzma.FORMAT_XZ)
+            take = lambda fed, one=one: one.decompress(fed, BLOCK)
+            held = lambda one=one: b"" if one.needs_input or one.eof else None
+        else:
+            one = zlib.decompressobj(47)
+            take = lambda fed, one=one: one.decompress(fed, BLOCK)
+            held = lambda one=one: one.unconsumed_tail
         try:
             while at < len(data) and not one.eof:
                 fed = data[at : at + BLOCK]
                 at += len(fed)
-                while fed and not one.eof:
-                    yield one.decompress(fed, BLOCK)
-                    fed = one.unconsumed_tail
-            while not one.eof and (more := one.decompress(b"", BLOCK)):
+                yield take(fed)
+                while not one.eof and (rest := held()) != b"":
+                    yield take(rest or b"")
+            while not one.eof and (more := take(b"")):
                 yield more
-        except zlib.error:
+        except (zlib.error, lzma.LZMAError, OSError, EOFError):
             return
         if not one.eof:
             return
-        at -= len(one.unused_data) + len(one.unconsumed_tail)
+        at -= len(one.unused_data)
+
+
+def _raw(data: bytes, check: bool = True) -> Iterator[bytes]:
+    """What ``data`` holds, in blocks, if it is raw deflate data from its first byte to an end mark; read once before to see that."""
+    one, fed = zlib.decompressobj(-15), data
+    try:
+        while (block := one.decompress(fed, BLOCK)) or one.unconsumed_tail:
+            if not check:
+                yield block
+            fed = one.unconsumed_tail
+    except zlib.error:
+        return
+    if check and one.eof:
+        yield from _raw(data, False)
 
 
 def _pieces(blocks: Iterator[bytes]) -> Iterator[bytes]:
@@ -124,7 +153,7 @@ def _pieces(blocks: Iterator[bytes]) -> Iterator[bytes]:
 def _worth(text: str) -> bool:
     """Whether a layer can hold a span or another layer."""
     low = text.lower()
-    return any(name in low for name in NAMES) or "AKIA" in text or any(p.search(text) for p in (RUN, PERCENT, ESCAPE))
+    return any(name in low for name in NAMES) or "AKIA" in text or any(p.search(text) for p in (RUN, PERCENT, ESCAPE, WIDE))
 
 
 def _rewritten(layer: Layer, pattern: re.Pattern, undo) -> Layer | None:
@@ -179,7 +208,11 @@ def _from_escapes(run: str) -> tuple[str | None, bool]:
 
 def _unwrapped(layer: Layer, runs: list[re.Match]) -> Iterator[Layer]:
     text = layer.text
-    if "%" in text and (new := _rewritten(layer, PERCENT, _from_percent)):
+    if "%" in text:
+        new = _rewritten(layer, CHAINED, lambda _: ("%" + "25" * CHAIN, False)) or _rewritten(layer, PERCENT, _from_percent)
+        if new:
+            yield new
+    if "\0" in text and (new := _rewritten(layer, WIDE, lambda run: (run.replace("\0", ""), True))):
         yield new
     if "\\" in text and (new := _rewritten(layer, ESCAPE, _from_escapes)):
         yield new
@@ -210,6 +243,8 @@ def _decoded(layer: Layer, start: int, run: str, spots: list[int] | None) -> Ite
         data = binascii.a2b_base64(run[first : first + size] + "=" * (-size % 4))
         whole = layer.place(spot(0), spot(len(run) - 1) + 1)
         yield from _unpacked(layer, data, lambda _, whole=whole: whole)
+        for piece in _pieces(_raw(data)):
+            yield Layer(piece.decode("latin-1"), [(0, len(piece), *whole, 0)], raw=True)
         held = data.decode("latin-1")
         if _worth(held):
             parts = []
@@ -249,16 +284,16 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts, digest and spans of every row."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in in_parts(frames):
             rows = []
             for doc, t in zip(frame["doc_id"], frame["text"], strict=True):
                 base, every = scan(t if isinstance(t, str) else None)
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 rows.append((doc, *n, hashlib.sha256(said(base).encode()).hexdigest(), said(every)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    read = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return read.mapInPandas(each, RESULT)
+    read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_rows(read, each, RESULT)
 
 
 def cover(text: str, spans: list[Span]) -> str:
@@ -280,4 +315,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     def clean(column: pd.Series) -> pd.Series:
         return column.map(lambda t: cover(t, scan(t)[1]) if isinstance(t, str) else t)
 
-    return small_batches(docs).withColumn(text, clean(F.col(text)))
+    return docs.withColumn(text, clean(F.col(text)))

@@ -1,28 +1,66 @@
-"""What several operators share: tables written to the cluster's shared folder, and connected components."""
+"""What several operators share: tables written to the cluster's shared folder, connected components, bounded batches."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new one that the session keeps."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one process alone may take a temporary folder, which its session keeps.
+
+    On a cluster such a folder would be another one on every machine, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("palimpsest.scratch.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master")
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("palimpsest.scratch.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as a Parquet table in the shared folder and read from there, which cuts its lineage."""
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/palimpsest/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder and read from there, which cuts its lineage."""
+    return _write(df)[0]
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    """Takes away a table of ours that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, or one like it that no column has, case aside."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def in_parts(frames: Iterator[pd.DataFrame], text: str = "text", most: int = 1 << 22) -> Iterator[pd.DataFrame]:
+    """Rows in parts of about ``most`` characters, one row at least; Spark itself bounds a batch by rows and bytes."""
+    for frame in frames:
+        sizes = frame[text].str.len().fillna(0).to_numpy(np.int64).cumsum()
+        at = 0
+        while at < len(frame):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            yield frame.iloc[at:end]
+            at = end
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -36,7 +74,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
-    now = written(now.distinct())
+    now, path = _write(now.distinct())
     if now.isEmpty():
         return now.selectExpr("u as id", "v as component")
     before = None
@@ -46,7 +84,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").selectExpr("v as u", "m as v")
-        now = written(small.union(lower.selectExpr("u", "m as v")).distinct())
+        old = path
+        now, path = _write(small.union(lower.selectExpr("u", "m as v")).distinct())
+        _removed(now.sparkSession, old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break
@@ -58,7 +98,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, with the session told to hand Python workers few rows at once: a row may hold a very long text."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def map_rows(rows: DataFrame, each: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, key: str = "doc_id") -> DataFrame:
+    """``rows.mapInPandas(each, schema)`` for rows whose long ``key`` may be null: pandas sees it as text, since it would make floats of such numbers."""
+    coded = schema.replace(f"{key} long", f"{key} string")
+    out = rows.withColumn(key, F.col(key).cast("string")).mapInPandas(each, coded)
+    return out.withColumn(key, F.col(key).cast("long"))
