@@ -18,18 +18,19 @@ text is read; labels, language, source and id never enter a score.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import small_batches
+from palimpsest.llm.shared import fresh, written
 from palimpsest.llm.words import BLANK, LOWER, batch_words, mix
 
-SAMPLE = 4000
+#: Bounds of the training sample: texts, and characters in all of them.
+SAMPLE, CHARACTERS = 4000, 1 << 26
 WIDTH, STEP = 32, 16
 WORDS, HIDDEN, WORD_DIM, CHAR_DIM, GRAMS, ATTEND = 16_384, 8, 6, 4, 4096, 8
 ROUNDS, SEED = 6, 7
@@ -41,7 +42,8 @@ STEPS = 100
 LONGEST, PIECE = 64, 16
 LONG = re.compile(r"[^\x20\x09-\x0D]{17,}")
 PARTS = re.compile(r"[^\W_]+|[\W_]{2,}")
-RESULT = "score double"
+#: Characters of the texts that a worker scores at once, one text at least.
+BATCH = 1 << 20
 
 
 def held_out(key: Column) -> Column:
@@ -268,6 +270,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int
             net.p["word"][:, 0] = base + odds[k]
             inputs = net.inputs(rows, grams, gram_ends)
             mine = np.flatnonzero(fold[owner] == k)
+            if not len(mine):
+                continue
             if round_:
                 value = np.concatenate([net.logits(inputs, all_windows[mine[i : i + 4096]]) for i in range(0, len(mine), 4096)])
             else:  # before anything is learned, the window with the highest log-odds stands for its text
@@ -297,39 +301,54 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """A network from at most ``sample`` labelled texts that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS) -> Network | None:
+    """A network from at most ``sample`` labelled texts that aren't held out, of at most ``characters`` in all (but one text at least).
+
+    Of rows with one id the last text in order is taken, with its highest label.
+    """
     given = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     some = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
-    rows = sorted(((r[0], r[1] or "", r[2]) for r in rows.collect()))  # at most ``sample`` ids
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct("text", "toxic")).alias("x")).select("doc_id", "x.*", F.xxhash64("doc_id").alias("h"))
+    rows = written(rows)  # ``sample`` rows at most
+    sizes = rows.select("h", "doc_id", F.length("text").alias("n")).orderBy("h", "doc_id").collect()
+    fits = int(np.searchsorted(np.cumsum([r.n for r in sizes]), characters, "right"))
+    if 0 < fits < len(sizes):
+        last = sizes[fits - 1]
+        rows = rows.where((F.col("h") < last.h) | ((F.col("h") == last.h) & (F.col("doc_id") <= last.doc_id)))
+    elif not fits:
+        rows = rows.orderBy("h", "doc_id").limit(1)
+    rows = sorted((r.doc_id, r.text, r.toxic) for r in rows.collect())
     return train([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.float32))
 
 
-def score(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """``docs`` with the column ``_score``."""
+def scored(text: Column, net: Network | None) -> Column:
+    """The score of each whole text; 0 without a network."""
 
     @F.pandas_udf("double")
-    def scored(column: pd.Series) -> pd.Series:
-        if net is None:
+    def each(column: pd.Series) -> pd.Series:
+        if net is None or not len(column):
             return pd.Series(np.zeros(len(column)))
         texts = [t if isinstance(t, str) else "" for t in column]
-        return pd.Series(_sigmoid(net.score(texts).astype(np.float64))) if texts else pd.Series([], dtype=float)
+        ends = np.cumsum([len(t) for t in texts])
+        cuts = [0, *(np.flatnonzero(np.diff(ends // BATCH)) + 1).tolist(), len(texts)]  # parts of bounded characters
+        return pd.Series(_sigmoid(np.concatenate([net.score(texts[a:b]) for a, b in itertools.pairwise(cuts)]).astype(np.float64)))
 
-    return small_batches(docs, 500).withColumn("_score", scored(F.col(text)))
+    return each(text)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    out = score(docs.select("doc_id", "text"), fit(docs, labels))
+    out = docs.select("doc_id", scored(F.col("text"), fit(docs, labels)).alias("score"))
     return out.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 
 def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``, columns as they came."""
-    return score(docs, fit(docs, labels)).where(F.col("_score") < limit).select(docs.columns)
+    own = fresh(docs.columns, "score")
+    return docs.withColumn(own, scored(F.col("text"), fit(docs, labels))).where(F.col(own) < limit).select(docs.columns)
