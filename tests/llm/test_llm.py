@@ -1,9 +1,11 @@
 """Operators against SQL, brute force, round trips and held-out labels, and their edge cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import itertools
+import lzma
 import random
 import re
 import urllib.parse
@@ -51,10 +53,16 @@ def test_odd_rows_everywhere(spark):
     assert piece_scan.digests(*piece_scan.encode(d)).count() == len(ODD)
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, sf_dir):
     d = docs(spark, "x").limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    import corpus_pipeline
+
+    step = d
+    for _, stage in corpus_pipeline.STAGES:
+        step = stage(spark, step, sf_dir)
     for out in (
+        step, secret_scan.redact(d), toxicity.clean(d, labels), sharding.attach(d, sharding.assign(d, 10)), packing.sequences(packing.pack(packing.pieces(d, with_ids=True))),
         sharding.assign(d, 10), quality_rules.quality_measures(d), quality_rules.judge(d), secret_scan.find(d), minhash.near_duplicates(d), minhash.keep_one(d),
         packing.pack(packing.pieces(d)), toxicity.verdicts(d, labels), bayes_quality.posterior(d, labels, F.col("source"), F.col("lang")), piece_scan.digests(*piece_scan.encode(d)),
         embed_graph.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")),
@@ -91,6 +99,44 @@ def test_sharding_splits_hot_keys(spark):
     assert sharding.attach(d, out).groupBy("shard").count().count() == len(shards)
 
 
+@pytest.mark.parametrize("key, text", [("7", "'abc'"), ("cast(null as long)", "repeat('x', cast(id % 300 as int))"), ("if(id % 3 = 0, 7, id)", "if(id = 3, repeat('y', 50000), repeat('x', cast(id * 7919 % 30 as int)))")])
+def test_sharding_hot_groups(spark, key, text):
+    d = spark.range(0, 100_000, 1, 4).selectExpr(f"{key} as doc_id", f"{text} as text", "id as bytes", "id as `part`", "'old' as SHARD")
+    out = sharding.assign(d, 2000)
+    sums = out.groupBy("shard").agg(F.sum("n_bytes").alias("n"), F.count("*").alias("c"), F.first("shard_bytes").alias("b"), F.first("shard_docs").alias("d")).collect()
+    assert sum(r.c for r in sums) == 100_000 and all((r.n <= 2000 or r.c == 1) and (r.n, r.c) == (r.b, r.d) for r in sums)
+    names = sorted(r.shard for r in sums)
+    assert not any(b.startswith(a) for a, b in itertools.pairwise(names))
+    held = {n: r.n for n, r in zip(names, sorted(sums), strict=True)}
+    # a bucket fits only where its parent doesn't: no two halves fit together
+    assert not any(a[:-1] == b[:-1] and held[a] + held[b] <= 2000 for a, b in itertools.pairwise(names))
+    placed = sharding.attach(d, out)
+    assert placed.columns == ["doc_id", "text", "bytes", "part", "shard"]
+    again = {r.shard: r.n for r in placed.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    assert again == {r.shard: r.n for r in sums} and placed.count() == 100_000
+
+
+def test_shared_folder_on_a_cluster():
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "local-cluster[2,1,1024]"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session)
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///x/"
+    assert shared.shared_folder(Session) == "hdfs:///x"
+
+
+def test_settings_stay(spark, sf_dir):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for op in ("op3_piece_scan", "op7_secret_scan", "op8_best_fit_packing"):
+        catalog.QUERIES[op](spark, sf_dir)
+    assert spark.conf.get(name) == before
+
+
 def brute_near(rows, width, percent):
     sets = {}
     for i, t in rows:
@@ -169,6 +215,35 @@ def test_embeddings_whole_after_failed_audits(spark, monkeypatch):
     assert got == want and sum(n for n, _ in want.values()) > 100
 
 
+def test_embeddings_of_any_scale(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1.0, 1.0]), (3, [1e-200, 1e-200]), (4, [1.0, -1.0]), (5, [1e308, -1e308]), (6, [5e-324, 5e-324])]
+    got = {r[0]: r[1:] for r in embed_graph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 6: (3, 1, False), 4: (1, 4, True), 5: (1, 4, False)}
+
+
+def test_embeddings_two_levels_of_centres(spark, monkeypatch):
+    monkeypatch.setattr(embed_graph, "SHARD", 30)
+    monkeypatch.setattr(embed_graph, "MOST", 120)
+    monkeypatch.setattr(embed_graph, "CENTRES", 6)
+    rng = np.random.default_rng(8)
+    seeds = rng.standard_normal((60, 16))
+    got, want = _links(spark, seeds[rng.integers(0, 60, 500)] + rng.standard_normal((500, 16)) * 0.1)
+    assert sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values()) and all(got[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in want.values()) > 500
+
+
+def test_graph_search_makes_few_cosines():
+    rng = np.random.default_rng(4)
+    seeds = rng.standard_normal((100, 32))
+    x = embed_graph._unit(seeds[rng.integers(0, 100, 1500)] + rng.standard_normal((1500, 32)) * 0.1)
+    near = x @ x.T
+    graph = embed_graph.Graph(x, *embed_graph.robust_prune(near.astype(np.float32)))
+    truth = near >= 0.95
+    np.fill_diagonal(truth, False)
+    found = graph.search(np.arange(1500), 0.95)
+    assert not (found & ~truth).any() and found.sum() >= 0.99 * truth.sum() > 1000
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("aeiou") + rng.choice("nrstl") for _ in range(rng.randrange(1, 4)))
@@ -202,6 +277,66 @@ def test_toxicity_reads_words_without_blanks():
     assert set(toxicity.word_grams(["x" * 11 + "grukk"])[3].tolist()) <= set(grams.tolist())
 
 
+def plain_logit(net, text):
+    """The forward pass word by word and window by window, in plain loops."""
+    p, hidden = net.p, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    known, place, _, grams, gram_ends = toxicity.word_grams([text])
+    begins, vector = [0, *gram_ends[:-1]], []
+    for w in place:
+        row = np.flatnonzero(net.vocabulary == known[w])
+        word = p["word"][row[0] if len(row) else len(net.vocabulary)]
+        vector.append(np.concatenate((word, np.mean([p["char"][g] for g in grams[begins[w] : gram_ends[w]]], axis=0))))
+    scores = []
+    for at in range(0, max(1, len(vector) - toxicity.WIDTH + toxicity.STEP), toxicity.STEP):
+        part = vector[at : at + toxicity.WIDTH]
+        states = [np.zeros(2 * hidden) for _ in part]
+        for d, side in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            h = np.zeros(hidden)
+            for t in side:
+                x, u = part[t] @ p[d + "W"] + p[d + "c"], h @ p[d + "U"]
+                z, r = sig(x[:hidden] + u[:hidden]), sig(x[hidden : 2 * hidden] + u[hidden : 2 * hidden])
+                h = (1 - z) * np.tanh(x[2 * hidden :] + r * u[2 * hidden :]) + z * h
+                states[t][slice(0, hidden) if d == "f" else slice(hidden, None)] = h
+        e = [np.tanh(s @ p["A"]) @ p["a"] for s in states]
+        w = np.exp(np.array(e) - max(e, default=0))
+        pooled = sum((a * s for a, s in zip(w / w.sum(), states, strict=True)), np.zeros(2 * hidden)) if states else np.zeros(2 * hidden)
+        scores.append(pooled @ p["o"] + p["k"][0])
+    return max(scores)
+
+
+def test_toxicity_forward_against_plain_loops():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["ab", "cde", "fg", "bad", "worse"]) + rng.choice(["", "x"]) for _ in range(rng.choice([1, 5, 31, 32, 33, 49, 80]))) for _ in range(40)]
+    net = toxicity.train(texts, np.array(["worse" in t for t in texts], np.float32), rounds=2)
+    some = [*texts[:12], "", "unknown words only", "a" * 100]
+    assert np.allclose(net.score(some), [plain_logit(net, t) for t in some], atol=1e-4)
+
+
+def test_toxicity_learns_without_log_odds(monkeypatch):
+    """The network by itself: what the words' log-odds leave out is their neighbourhood, which alone tells these texts apart."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        t = [rng.choice("abcdefgh") * 3 for _ in range(20)]
+        t[7:9] = ["you", "fool"] if i % 2 else ["fool", "gold"]
+        t[14:16] = ["gold", "ring"] if i % 2 else ["you", "ring"]
+        rows.append((" ".join(t), i % 2))
+    monkeypatch.setattr(toxicity, "_log_odds", lambda m, y, n: np.zeros(n, np.float32))
+    net = toxicity.train([t for t, _ in rows[:500]], np.array([y for _, y in rows[:500]], np.float32), rounds=10)
+    assert np.mean([(s > 0) == y for s, (_, y) in zip(net.score([t for t, _ in rows[500:]]), rows[500:], strict=True)]) >= 0.9
+
+
+def test_toxicity_keeps_columns(spark):
+    d = spark.createDataFrame([(i, "bad text" if i % 3 == 0 else "some text", 7.0, 8.0) for i in range(40)], "doc_id long, text string, score double, _score double")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)] + [(1, 0), (1, None), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.clean(d, labels)
+    assert out.columns == d.columns and {(r.score, r["_score"]) for r in out.collect()} == {(7.0, 8.0)}
+    assert toxicity.clean(d.limit(0), labels).count() == 0
+    # the bound on characters leaves one text at least
+    assert toxicity.fit(d, labels, characters=1) is not None
+
+
 def test_toxicity_gradient():
     net = toxicity.train(["a b c d", "e f g bad", "bad a", "x"], np.array([0, 1, 1, 0], np.float32), rounds=1)
     known, place, ends, grams, gram_ends = toxicity.word_grams(["a b bad q", "c"])
@@ -277,6 +412,31 @@ def test_secret_layers():
     assert secret_scan.scan("%25" * 50 + "41")[1] == []
 
 
+def test_secret_layers_of_other_formats():
+    inner = b"password=hunter22"
+    b64 = lambda t: base64.b64encode(t).decode()
+    raw = lambda t: (c := zlib.compressobj(9, zlib.DEFLATED, -15)).compress(t) + c.flush()
+    wide = inner.decode()
+    cases = {
+        "bzip2": b64(bz2.compress(inner)), "xz": b64(lzma.compress(inner)), "two members": b64(bz2.compress(b"first") + bz2.compress(inner)), "xz of gzip": b64(lzma.compress(gzip.compress(inner))),
+        "raw": b64(raw(b"hello there " * 5 + inner)), "utf-16": b64(wide.encode("utf-16")), "big endian": b64(wide.encode("utf-16-be")), "packed utf-16": b64(gzip.compress(wide.encode("utf-16-le"))),
+        "40 MB": b64(gzip.compress(b"plain text, " * 3_400_000 + inner)), "escaped often": "%" + "25" * 300 + "70assword=hunter22",
+    }
+    for name, held in cases.items():
+        text = f"é {held} end"
+        _, every = secret_scan.scan(text)
+        assert any(k == 0 and a >= 2 and b <= len(text) - 4 for a, k, b in every), name
+
+
+def test_secret_chains_take_few_steps(monkeypatch):
+    steps, old = [], secret_scan._rewritten
+    monkeypatch.setattr(secret_scan, "_rewritten", lambda *a: steps.append(1) or old(*a))
+    for text in ("%" + "25" * 500_000 + "41", "%25" * 350_000):
+        steps.clear()
+        base, every = secret_scan.scan(text)
+        assert not any(k == 0 for _, k, _ in every) and base == brute_secrets(text) and len(steps) < 30
+
+
 def test_secret_layers_whole():
     inner = b"password=hunter22"
     b64 = lambda t: base64.b64encode(t).decode()
@@ -348,6 +508,44 @@ def test_packing_rows(spark, sf_dir):
     assert len(held) <= 1.02 * sum(n for _, n, _ in want.values()) / 512 + 2
 
 
+def test_packed_sequences_hold_every_row(spark):
+    d = docs(spark, "one two", "one two", "three", None, ids=[1, 1, 1, None])
+    packed = packing.pack(packing.pieces(d, capacity=6, with_ids=True), 6)
+    whole = {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
+    rows = packed.collect()
+    assert len(rows) == packing.pieces(d, capacity=6).count() and sum(map(len, whole.values())) == sum(r.length for r in rows)
+    assert all(whole[r.sequence_id][r.offset : r.offset + r.length] == r.ids for r in rows) and max(map(len, whole.values())) <= 6
+
+
+def test_keep_one_of_repeated_ids(spark):
+    far = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, far[0]), (1, far[1]), (1, far[1]), (2, far[0] + " end"), (3, far[2]), (None, far[2]), (None, None), (4, None), (4, None)]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, own string, gone int")
+    got = minhash.keep_one(d)
+    assert got.columns == d.columns
+    kept = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+    # one of the two near copies of the first text stays, under whichever id
+    assert len(kept) == 6 and [k for k in kept if k[1].startswith("a")][0][0] in (1, 2)
+    assert [k for k in kept if not k[1].startswith("a")] == sorted([(1, far[1]), (3, far[2]), (0, far[2]), (0, ""), (4, "")])
+
+
+def test_large_ids_beside_null_ones(spark):
+    """Ids beyond 2^53, which floats can't hold, next to null ids in a batch."""
+    ids = [2**62 + 1, -(2**62) - 3, None, 2**53 + 1]
+    d = docs(spark, *[f"text {i} " * 30 for i in range(4)], ids=ids)
+    labels = spark.createDataFrame([(2**62 + 1, 1, 1)], "doc_id long, quality int, toxic int")
+    for out in (
+        minhash.near_duplicates(d), packing.pieces(d), secret_scan.find(d), piece_scan.digests(*piece_scan.encode(d, chunk=40)), piece_scan.digests(*piece_scan.encode(d)),
+        bayes_quality.posterior(d, labels, F.col("source"), F.col("lang")), toxicity.verdicts(d, labels), sharding.assign(d, 10),
+    ):
+        assert {r.doc_id for r in out.coalesce(1).collect()} == set(ids)
+
+
+def test_bands_follow_the_threshold():
+    for percent in (70, 80, 85, 90):
+        assert (1 - (percent / 100) ** minhash.ROWS) ** minhash.bands_for(percent) < minhash.MISSED
+
+
 def test_pieces_against_library(spark, sf_dir):
     import sentencepiece
 
@@ -370,6 +568,96 @@ def test_quality_bayes_held_out(spark, sf_dir):
     assert np.mean([r.ok for r in got]) >= 0.8 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_quality_bayes_tells_classes_apart(spark):
+    rng = random.Random(3)
+    good, bad = [[f"{c}{i}" for i in range(40)] for c in "gb"]
+    rows = [(i, " ".join(rng.choice(bad if i % 5 == 0 and rng.random() < 0.3 else good) for _ in range(60)), "h", "p") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    truth = {i: int(i % 5 != 0) for i, *_ in rows}
+    labels = spark.createDataFrame([(i, y) for i, y in truth.items() if i % 2], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in bayes_quality.posterior(d, labels, F.col("source"), F.col("lang")).collect()}
+    held = [i for i in truth if i % 2 == 0]
+    assert np.mean([got[i] for i in held if truth[i]]) >= 0.95 and np.mean([not got[i] for i in held if not truth[i]]) >= 0.9
+
+
+def brute_posterior(rows):
+    """Plain loops over rows (k, host, path, p, y): score of each, leaving the row itself out of its groups."""
+    said = [(h or "\0", t or "\0", p, p if y is None else y) for _, h, t, p, y in rows]
+    mean = sum(o for *_, o in said) / len(said)
+
+    def weight(groups):
+        some = [(g, up) for g, up in groups if len(g) > 1]
+        if not some:
+            return 10.0
+        n = sum(len(g) for g, _ in some)
+        noise = sum(sum((o - sum(g) / len(g)) ** 2 for o in g) / (len(g) - 1) for g, _ in some) / len(some)
+        real = max(sum(len(g) * (sum(g) / len(g) - up) ** 2 for g, up in some) / n - noise * len(some) / n, 1e-6)
+        return min(1000.0, max(1.0, noise / real))
+
+    hosts, paths = {}, {}
+    for h, t, _, o in said:
+        hosts.setdefault(h, []).append(o)
+        paths.setdefault((h, t), []).append(o)
+    hw = weight([(g, mean) for g in hosts.values()])
+    pw = weight([(g, sum(hosts[h]) / len(hosts[h])) for (h, _), g in paths.items()])
+    logit = lambda x: np.log(min(1 - 1e-6, max(1e-6, x)) / (1 - min(1 - 1e-6, max(1e-6, x))))
+    out = []
+    for h, t, p, o in said:
+        top = (hw * mean + sum(hosts[h]) - o) / (hw + len(hosts[h]) - 1)
+        low = (pw * top + sum(paths[h, t]) - o) / (pw + len(paths[h, t]) - 1)
+        out.append(1 / (1 + np.exp(-(logit(p) + logit(low) - logit(mean)))))
+    return out
+
+
+def test_posteriors_against_brute_force(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None, f"h{i}"]), rng.choice(["x", "y", None]), rng.uniform(0.01, 0.99), rng.choice([None, None, 0.0, 1.0])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, host string, path string, p double, y double")
+    want = brute_posterior(rows)
+    for most in (10**6, 0):  # by broadcast, and salted
+        monkeypatch.setattr(bayes_quality, "SENT_GROUPS", most)
+        got = {r.k: r.score for r in bayes_quality.combine(df).collect()}
+        assert np.allclose([got[i] for i in range(200)], want, atol=1e-9)
+
+
+def test_labels_reach_the_posteriors(spark):
+    d = docs(spark, *["same words here"] * 40)
+    said = lambda y: spark.createDataFrame([(i, y if 20 <= i < 30 else 1 - y) for i in range(20, 40)] + [(20, y), (21, None), (None, y)], "doc_id long, quality int")
+    got = [{r.doc_id: r.score for r in bayes_quality.posterior(d, said(y), F.when(F.col("doc_id") % 40 < 30, F.lit("a")).otherwise("b"), F.lit("p")).collect()} for y in (0, 1)]
+    assert all(got[1][i] > got[0][i] for i in range(20)) and len(got[0]) == 40
+
+
+def brute_measures(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often = {g for g in windows if windows.count(g) > 1}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    repeat = {i + k for i, g in enumerate(windows) if g in often for k in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeat)
+
+
+def test_measures_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = [None, "", " \t\n", "a", "a b c", "é\x1f\x85x\u00a0y #\r\n#", *("".join(rng.choice(["a ", "b ", "c\n", "dd\t", "#* ", "\n", "É "]) for _ in range(rng.randrange(90))) for _ in range(60))]
+    got = {r.doc_id: r for r in quality_rules.quality_measures(docs(spark, *texts)).collect()}
+    for i, t in enumerate(texts):
+        want = brute_measures(t)
+        assert tuple(got[i][1:6]) == want and got[i].base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+
+
+def test_cascade_stops_at_the_first_rejection(spark):
+    d = docs(spark, "short", " ".join(f"w{i}" for i in range(60)))
+    rules = {"short": lambda c: c("n_words") < 50, "fails": lambda c: F.raise_error(F.lit("evaluated")).cast("boolean")}
+    verdict = quality_rules.cascade(F.col("text"), ["short", "fails"], rules)
+    assert d.where("doc_id = 0").select(verdict.alias("v")).first().v == "short"
+    with pytest.raises(Exception, match="evaluated"):
+        d.select(verdict).collect()
+    found = quality_rules.order_rules(spark.createDataFrame([(i, "# " * 80) for i in range(40)], "doc_id long, text string"))
+    hits = {name: share for name, share, _ in found}
+    assert hits["symbols"] == 1.0 and hits["too_short"] == 0.0 and [s / t for _, s, t in found] == sorted((s / t for _, s, t in found), reverse=True)
+
+
 def test_rule_order_keeps_the_verdict(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = list(quality_rules.RULES)
