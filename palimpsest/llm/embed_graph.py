@@ -194,9 +194,25 @@ class Graph:
         return out
 
 
-def _tasks(classes: DataFrame, overlap: int, whole: bool = False) -> DataFrame:
-    """Rows (task, id, v, copies, shards, block, blocks): every class in each task that works on it; with ``whole`` all in one shard."""
-    spark, n = classes.sparkSession, classes.count()
+class Tasks:
+    """Classes with their shards, in ``routed`` (id, v, copies, shards), and how many blocks each shard of more than ``MOST`` is dealt into."""
+
+    def __init__(self, routed: DataFrame):
+        self.routed = routed
+        sizes = routed.select(F.explode("shards").alias("s")).groupBy("s").count().where(F.col("count") > MOST)
+        self.blocks = written(sizes.select("s", F.ceil(2 * F.col("count") / MOST).cast("int").alias("blocks")))
+
+    def deal(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with shards, once for each task that works on them: columns s, task, block and blocks are added. Nothing is moved for it."""
+        rows = rows.withColumn("s", F.explode("shards")).join(self.blocks, "s", "left").fillna(1, ["blocks"])
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("a"), F.greatest("block", x).alias("b"))))
+        return rows.withColumn("o", other).withColumn("task", F.concat_ws(":", "s", "o.a", "o.b")).drop("o")
+
+
+def _tasks(classes: DataFrame, overlap: int, whole: bool = False) -> Tasks:
+    """Every class in its ``overlap`` nearest shards; with ``whole`` all in one shard."""
+    n = classes.count()
     k = 1 if whole else max(1, math.ceil(n * overlap / SHARD))
     share = min(1.0, min(32 * k, FITTED) / max(1, n))
 
@@ -216,17 +232,10 @@ def _tasks(classes: DataFrame, overlap: int, whole: bool = False) -> DataFrame:
             if len(frame):
                 yield frame.assign(shards=list(at(_unit(frame["v"]), fan)))
 
-    routed = written(classes.mapInPandas(route, "id long, v array<double>, copies long, shards array<long>"))
-    sizes = routed.select(F.explode("shards").alias("s")).groupBy("s").count().where(F.col("count") > MOST)
-    blocks = sizes.select("s", F.ceil(2 * F.col("count") / MOST).cast("int").alias("blocks"))
-    rows = routed.withColumn("s", F.explode("shards")).join(blocks, "s", "left").fillna(1, ["blocks"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("a"), F.greatest("block", x).alias("b"))))
-    rows = rows.withColumn("o", other)
-    return rows.select("s", F.concat_ws(":", "s", "o.a", "o.b").alias("task"), "id", "v", "copies", "shards", "block", "blocks")
+    return Tasks(written(classes.mapInPandas(route, "id long, v array<double>, copies long, shards array<long>")))
 
 
-def _search(rows: DataFrame, cosine: float, exact: bool = False) -> DataFrame:
+def _search(tasks: Tasks, cosine: float, exact: bool = False) -> DataFrame:
     """Rows (id, n, root): links that each task owns, and the smallest id each class reaches there. ``exact`` does without the graph."""
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
@@ -274,26 +283,29 @@ def _search(rows: DataFrame, cosine: float, exact: bool = False) -> DataFrame:
         keep = (n > 0) | (root < np.arange(m))
         return pd.DataFrame({"id": ids[keep], "n": n[keep].astype(np.int64), "root": ids[root[keep]]})
 
-    took = "task string, id long, v array<double>, copies long, shards array<long>, block int, guest boolean, stays array<long>"
-    members = rows.select("task", "id", "v", "copies", "shards", "block", F.lit(False).alias("guest"), F.array().cast("array<long>").alias("stays"))
+    none = F.array().cast("array<long>")
     if exact:
-        met = members.withColumn("near", F.lit(None).cast("array<long>"))
+        met = tasks.deal(tasks.routed.withColumn("near", none)).withColumns({"guest": F.lit(False), "stays": none})
     else:
-        edges = written(rows.groupBy("task").applyInPandas(build, "id long, to long, inside boolean"))
+        edges = written(tasks.deal(tasks.routed.select("id", "v", "shards")).groupBy("task").applyInPandas(build, "id long, to long, inside boolean"))
         both = edges.select("id", "to", "inside").union(edges.select("to", "id", "inside"))
-        united = written(both.groupBy("id").agg(F.collect_set("to").alias("near")))
+        listed = written(tasks.routed.join(both.groupBy("id").agg(F.collect_set("to").alias("near")), "id", "left"))
         # classes in range of a shard's member that aren't in that shard; split shards take none
-        lone = rows.where("blocks = 1").select("s", "task", "id", "v", "copies", "shards")
-        beyond = both.where("inside").select("id", "to").distinct().join(lone.select("id", "s", "task"), "id").select("s", "task", F.col("to").alias("id")).distinct()
-        where = rows.select("id", "v", "copies", "shards").dropDuplicates(["id"])
-        guests = beyond.join(where, "id").where(~F.array_contains("shards", F.col("s")))
-        stays = guests.groupBy("id").agg(F.collect_set("s").alias("stays"))
-        guests = guests.join(stays, "id").select("task", "id", "v", "copies", "shards", F.lit(0).alias("block"), F.lit(True).alias("guest"), "stays")
-        met = members.union(guests).join(united, "id", "left").select(*(c.split()[0] for c in took.split(", ")), "near")
-    return written(met.groupBy("task").applyInPandas(search, "id long, n long, root long"))
+        shards = tasks.routed.select("id", "shards")
+        beyond = tasks.deal(both.where("inside").select("id", "to").distinct().join(shards, "id")).where("blocks = 1").select("s", "task", F.col("to").alias("id"))
+        beyond = written(beyond.distinct().join(shards, "id").where(~F.array_contains("shards", F.col("s"))).select("s", "task", "id"))
+        stays = beyond.groupBy("id").agg(F.collect_set("s").alias("stays"))
+        guests = listed.join(beyond.drop("s").join(stays, "id"), "id").withColumns({"block": F.lit(0), "guest": F.lit(True)})
+        met = tasks.deal(listed).withColumns({"guest": F.lit(False), "stays": none})
+        met = met.select(*TAKEN).union(guests.select(*TAKEN))
+    return written(met.select(*TAKEN).groupBy("task").applyInPandas(search, "id long, n long, root long"))
+
+
+#: What a search sees of a class.
+TAKEN = ("task", "id", "v", "copies", "shards", "near", "block", "guest", "stays")
 
 
-def audit(classes: DataFrame, tasks: DataFrame, found: DataFrame, cosine: float, queries: int = QUERIES) -> float:
+def audit(classes: DataFrame, tasks: Tasks, found: DataFrame, cosine: float, queries: int = QUERIES) -> float:
     """Share of the links of ``queries`` classes, counted over all classes by brute force, that ``found`` (id, n) has.
 
     Half of them come from all classes, a quarter from the largest shard and a quarter from those found linked.
@@ -302,9 +314,9 @@ def audit(classes: DataFrame, tasks: DataFrame, found: DataFrame, cosine: float,
     some = drawn(classes, queries // 2)
     if not some:
         return 1.0
-    shard = tasks.select("id", F.explode("shards").alias("s")).distinct().groupBy("s").count().orderBy(F.desc("count"), "s").first()[0]
-    some |= drawn(classes.join(tasks.where(F.array_contains("shards", shard)).select("id").distinct(), "id"), queries // 4)
-    some |= drawn(classes.join(found.where("n > 0").select("id"), "id"), queries // 4)
+    shard = tasks.routed.select(F.explode("shards").alias("s")).groupBy("s").count().orderBy(F.desc("count"), "s").first()[0]
+    some |= drawn(tasks.routed.where(F.array_contains("shards", shard)), queries // 4)
+    some |= drawn(classes.join(found.where("n > 0").select("id"), "id", "left_semi"), queries // 4)
     ids, asked = np.array(list(some)), _unit(some.values())
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
