@@ -42,6 +42,8 @@ STEPS = 100
 LONGEST, PIECE = 64, 16
 LONG = re.compile(r"[^\x20\x09-\x0D]{17,}")
 PARTS = re.compile(r"[^\W_]+|[\W_]{2,}")
+#: Windows that are run at once, so that their states stay in a core's cache and no product is worth threads of its own.
+BLOCK = 1024
 #: Characters of the texts that a worker scores at once, one text at least.
 BATCH = 1 << 20
 
@@ -118,6 +120,10 @@ class Network:
         chars = np.add.reduceat(self.p["char"][grams], begins, axis=0) / (ends - begins)[:, None]
         return np.concatenate((self.p["word"][rows], chars), axis=1).astype(np.float32)
 
+    def project(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
+        """Distinct words as both directions' gates see them; the last row stands for "no word" and is reached by place -1."""
+        return {d: np.concatenate((inputs @ self.p[d + "W"] + self.p[d + "c"], np.zeros((1, 3 * HIDDEN), np.float32))) for d in "fb"}
+
     def _run(self, d: str, projected: np.ndarray, at: np.ndarray, keep: bool):
         U, h = self.p[d + "U"], np.zeros((len(at), HIDDEN), np.float32)
         states, tape = np.empty((WIDTH, len(at), HIDDEN), np.float32), []
@@ -135,11 +141,12 @@ class Network:
         return states, tape
 
     def logits(self, inputs: np.ndarray, at: np.ndarray, keep: bool = False):
+        return self.forward(self.project(inputs), at, keep)
+
+    def forward(self, projected: dict[str, np.ndarray], at: np.ndarray, keep: bool = False):
         states, tapes = [], []
         for d in "fb":
-            # the last row stands for "no word" and is reached by place -1
-            projected = np.concatenate((inputs @ self.p[d + "W"] + self.p[d + "c"], np.zeros((1, 3 * HIDDEN), np.float32)))
-            s, tape = self._run(d, projected, at, keep)
+            s, tape = self._run(d, projected[d], at, keep)
             states.append(s)
             tapes.append(tape)
         h = np.concatenate(states, axis=2)
@@ -201,16 +208,16 @@ class Network:
         np.add.at(g["char"], grams[where], spread)
         return g
 
-    def score(self, texts: list[str], block: int = 2048) -> np.ndarray:
+    def score(self, texts: list[str], block: int = BLOCK) -> np.ndarray:
         """The highest logit of each text's windows."""
         known, place, ends, grams, gram_ends = word_grams(texts)
-        inputs = self.inputs(self.rows(known), grams, gram_ends)
+        projected = self.project(self.inputs(self.rows(known), grams, gram_ends))
         out, held, owner = np.full(len(texts), -np.inf, np.float32), [], []
 
         def flush() -> None:
-            at = np.concatenate(held)
+            at, of = np.concatenate(held), np.concatenate(owner)
             for k in range(0, len(at), block):
-                np.maximum.at(out, np.concatenate(owner)[k : k + block], self.logits(inputs, at[k : k + block]))
+                np.maximum.at(out, of[k : k + block], self.forward(projected, at[k : k + block]))
             held.clear()
             owner.clear()
 
@@ -273,7 +280,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int
             if not len(mine):
                 continue
             if round_:
-                value = np.concatenate([net.logits(inputs, all_windows[mine[i : i + 4096]]) for i in range(0, len(mine), 4096)])
+                projected = net.project(inputs)
+                value = np.concatenate([net.forward(projected, all_windows[mine[i : i + BLOCK]]) for i in range(0, len(mine), BLOCK)])
             else:  # before anything is learned, the window with the highest log-odds stands for its text
                 value = np.where(all_windows[mine] >= 0, net.p["word"][rows[all_windows[mine]], 0], -9).max(axis=1)
             order = mine[np.argsort(value, kind="stable")]
